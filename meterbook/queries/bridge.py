@@ -412,8 +412,8 @@ CTES: dict[str, tuple[list[str], str]] = {
           (end_ms - start_ms) // 1000 AS dur_sec, total_tokens,
           CAST(CAST(total_tokens AS DECIMAL(12,0)) * CAST(0.00001 AS DECIMAL(5,5)) AS DECIMAL(18,6)) AS cost,
           [{_sql_pick(MODELS, 'user_id % 10')}] AS models
-        FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, min(epoch_ms(ts)) AS start_ms,
-          max(epoch_ms(ts)) AS end_ms,
+        FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, min(epoch_us(ts) // 1000) AS start_ms,
+          max(epoch_us(ts) // 1000) AS end_ms,
           CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) * 10 AS total_tokens
           FROM events GROUP BY ALL))""",
     ),
@@ -424,7 +424,7 @@ CTES: dict[str, tuple[list[str], str]] = {
           CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'no_usage'
             ELSE 'recorded' END AS status,
           CASE WHEN event_id % 3 > 0 THEN 'code ' || user_id % 5 END AS message,
-          epoch_ms(ts) AS occurred_ms, user_id, CAST(round(value * 1000) AS BIGINT) AS tokens
+          epoch_us(ts) // 1000 AS occurred_ms, user_id, CAST(round(value * 1000) AS BIGINT) AS tokens
         FROM events""",
     ),
 }
