@@ -26,7 +26,7 @@ def to_count(value: Column) -> Column:
 def to_models(value: Column) -> Column:
     """List of model ids from a ``;`` or ``,`` separated string."""
     parts = F.split(F.coalesce(value, F.lit("")), "[;,]")
-    return F.filter(F.transform(parts, F.trim), lambda m: m != "")
+    return F.filter(F.transform(parts, lambda m: F.trim(m)), lambda m: m != "")
 
 
 def instant_ms(value: Column) -> Column:

@@ -181,18 +181,22 @@ def _ranked(parts: DataFrame) -> DataFrame:
     return parts.withColumn("cost_units", (F.col("cost") * 10_000_000_000_000).cast("decimal(38,0)"))
 
 
+def union_shapes(frames: list[DataFrame]) -> DataFrame:
+    """Rows of every host in one shape; a column a host lacks is null."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out
+
+
 def union_providers(derived: list[Derived]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(usage, metadata, turns) of all hosts in one shape each."""
-    usage, meta, turns = None, None, None
-    for d in derived:
-        u, m = d.usage, d.metadata
-        usage = u if usage is None else usage.unionByName(u, allowMissingColumns=True)
-        meta = m if meta is None else meta.unionByName(m, allowMissingColumns=True)
-        if d.turns is not None:
-            turns = (
-                d.turns if turns is None else turns.unionByName(d.turns, allowMissingColumns=True)
-            )
-    return usage, meta, turns
+    """(usage, metadata, turns) of all hosts."""
+    turns = [d.turns for d in derived if d.turns is not None]
+    return (
+        union_shapes([d.usage for d in derived]),
+        union_shapes([d.metadata for d in derived]),
+        union_shapes(turns) if turns else None,
+    )
 
 
 def reprice(provider: Provider, ledger: DataFrame, dim: DataFrame, version: Column | str):

@@ -533,7 +533,7 @@ ROLLOUT = """roll AS (SELECT DISTINCT ON (session_id, ts_ms, l_orderkey, l_partk
     CASE WHEN l_linenumber <= 2 AND l_partkey % 2 = 0 THEN 'm-' || l_partkey % 6 END AS declared,
     CASE WHEN l_linenumber = 2 AND l_partkey % 3 = 0 THEN CASE WHEN l_partkey % 2 = 0 THEN 'fast' ELSE 'flex' END END AS tier_set,
     CASE WHEN l_linenumber = 1 AND l_partkey % 4 > 0 THEN 't-' || l_orderkey % 50 END AS context_id,
-    CASE WHEN l_returnflag <> 'A' THEN strftime(l_shipdate, '%Y-%m-%d') END AS at,
+    CASE WHEN l_returnflag <> 'A' THEN strftime(l_shipdate, '%Y-%m-%d') END AS stamp,
     CAST(round(l_quantity) AS BIGINT) AS tokens FROM lineitem)),
 state AS (SELECT *, coalesce(last_value(declared IGNORE NULLS) OVER w, first_value(declared IGNORE NULLS) OVER a, 'unknown') AS model,
     coalesce(last_value(tier_set IGNORE NULLS) OVER w, 'default') AS tier, row_number() OVER w AS pos
@@ -543,16 +543,16 @@ state AS (SELECT *, coalesce(last_value(declared IGNORE NULLS) OVER w, first_val
       ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
 # Turns in SQL: an explicit id counts once, where it first opens.
 TURNS = ROLLOUT + """,
-opens AS (SELECT session_id, pos, context_id, at, context_id IS NULL OR row_number() OVER (
+opens AS (SELECT session_id, pos, context_id, stamp, context_id IS NULL OR row_number() OVER (
     PARTITION BY session_id, context_id ORDER BY pos) = 1 AS fresh FROM state WHERE kind = 'context'),
 lead_ AS (SELECT session_id, min(pos) FILTER (WHERE kind = 'usage') AS u, min(pos) FILTER (WHERE kind = 'context') AS c,
-    arg_min(at, pos) FILTER (WHERE kind = 'usage') AS dummy FROM state GROUP BY 1),
-imp AS (SELECT l.session_id, l.u, s.at FROM lead_ l JOIN state s ON s.session_id = l.session_id AND s.pos = l.u
+    arg_min(stamp, pos) FILTER (WHERE kind = 'usage') AS dummy FROM state GROUP BY 1),
+imp AS (SELECT l.session_id, l.u, s.stamp FROM lead_ l JOIN state s ON s.session_id = l.session_id AND s.pos = l.u
     WHERE l.u IS NOT NULL AND (l.c IS NULL OR l.u < l.c)),
 named AS (SELECT o.session_id, o.pos, coalesce(context_id, 'turn-' || (sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (
-    PARTITION BY o.session_id ORDER BY o.pos) + CASE WHEN imp.u IS NOT NULL THEN 1 ELSE 0 END)) AS turn_id, o.at, fresh
+    PARTITION BY o.session_id ORDER BY o.pos) + CASE WHEN imp.u IS NOT NULL THEN 1 ELSE 0 END)) AS turn_id, o.stamp, fresh
   FROM opens o LEFT JOIN imp ON imp.session_id = o.session_id
-  UNION ALL SELECT session_id, u, 'turn-1', at, true FROM imp),
+  UNION ALL SELECT session_id, u, 'turn-1', stamp, true FROM imp),
 lined AS (SELECT s.*, last_value(n.turn_id IGNORE NULLS) OVER (PARTITION BY s.session_id ORDER BY s.pos
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turn_id
   FROM state s LEFT JOIN named n ON n.session_id = s.session_id AND n.pos = s.pos)"""
@@ -582,9 +582,9 @@ def _(b):
 @query(
     "codex_turns", [],
     f"""WITH {TURNS},
-    starts AS (SELECT session_id, turn_id, arg_min(at_, pos) AS start FROM (SELECT *, coalesce(at, '') AS at_ FROM named WHERE fresh) GROUP BY 1, 2),
-    ends AS (SELECT session_id, turn_id, arg_max(at, pos) AS fin FROM lined
-      WHERE kind IN ('usage', 'other') AND turn_id IS NOT NULL AND at IS NOT NULL GROUP BY 1, 2),
+    starts AS (SELECT session_id, turn_id, arg_min(at_, pos) AS start FROM (SELECT *, coalesce(stamp, '') AS at_ FROM named WHERE fresh) GROUP BY 1, 2),
+    ends AS (SELECT session_id, turn_id, arg_max(stamp, pos) AS fin FROM lined
+      WHERE kind IN ('usage', 'other') AND turn_id IS NOT NULL AND stamp IS NOT NULL GROUP BY 1, 2),
     sums AS (SELECT session_id, turn_id, CAST(sum(tokens) AS BIGINT) AS tokens FROM lined WHERE kind = 'usage' GROUP BY 1, 2)
     SELECT session_id, turn_id, nullif(start, '') AS start, coalesce(fin, nullif(start, '')) AS "end", tokens
     FROM starts JOIN sums USING (session_id, turn_id) LEFT JOIN ends USING (session_id, turn_id)""",
