@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .carry import running_total
+
 
 def settle_runs(pending: DataFrame, results: DataFrame) -> DataFrame:
     """Outcome of each run, with its latest recorded result.
@@ -45,28 +47,33 @@ def settle_runs(pending: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def capture_health(events: DataFrame) -> DataFrame:
+def capture_health(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Latest attempt, success and failure of hooks per provider.
 
-    Events apply in arrival order, and one older than the last attempt is
-    ignored. In a batch the last attempt is therefore the newest event, the
-    later arrival on ties.
+    Events apply in arrival order (``event_id``) and one older than the newest
+    attempt so far is ignored. Chunks of ids keep the running maximum of a
+    busy provider off a single task.
     """
-    at = F.struct("occurred_ms", "event_id")
+    keys = keys or ["provider"]
+    chunked = events.withColumn("_chunk", F.floor(F.col("event_id") / 65_536))
+    seen = running_total(
+        chunked, keys, "_chunk", ["event_id"], maxima_before={"_newest": F.col("occurred_ms")}
+    )
+    taken = seen.filter("_newest IS NULL OR occurred_ms >= _newest")
     good = F.col("status").isin("recorded", "no_usage")
     bad = F.col("status") == "failed"
-    last = F.max_by(F.struct("occurred_ms", "hook_event_name", "status"), at)
+    at = F.col("event_id")
     said = F.coalesce(F.nullif("message", F.lit("")), F.lit("Unknown hook capture failure"))
     return (
-        events.groupBy("provider")
+        taken.groupBy(*keys)
         .agg(
-            last.alias("last"),
+            F.max_by(F.struct("occurred_ms", "hook_event_name", "status"), at).alias("last"),
             F.max(F.when(good, F.col("occurred_ms"))).alias("last_success_ms"),
             F.max(F.when(bad, F.col("occurred_ms"))).alias("last_failure_ms"),
             F.max_by(said, F.when(bad, at)).alias("last_failure_message"),
         )
         .select(
-            "provider",
+            *keys,
             F.col("last.occurred_ms").alias("last_attempt_ms"),
             F.col("last.hook_event_name").alias("last_attempt_event"),
             F.col("last.status").alias("last_attempt_status"),
@@ -147,10 +154,25 @@ def fleet_status(monitors: DataFrame) -> DataFrame:
     return counts.withColumn("status", worst)
 
 
-def coalesce_bursts(writes: DataFrame, at: str = "at", quiet: str = "1500 milliseconds") -> DataFrame:
-    """Writes closer together than the quiet period form one refresh."""
-    return writes.groupBy(F.session_window(at, quiet).alias("burst")).agg(
-        F.count(F.lit(1)).alias("writes")
-    ).select(
-        F.col("burst.start").alias("first_at"), F.col("burst.end").alias("refresh_at"), "writes"
+def coalesce_bursts(
+    writes: DataFrame, at: str = "at", quiet_ms: int = 1_500, keys: list[str] | None = None
+) -> DataFrame:
+    """Writes closer together than the quiet period form one refresh.
+
+    Bursts chain over hours of writes, so an hour is a chunk and only one row
+    per hour is walked as a whole.
+    """
+    keys = keys or []
+    us = F.unix_micros(at)
+    moments = writes.groupBy(*keys, us.alias("us")).agg(F.count(F.lit(1)).alias("n"))
+    hour = moments.withColumn("hour", F.floor(F.col("us") / 3_600_000_000))
+    seen = running_total(hour, keys, "hour", ["us"], maxima_before={"before": F.col("us")})
+    opens = F.col("before").isNull() | (F.col("us") >= F.col("before") + quiet_ms * 1000)
+    numbered = running_total(
+        seen, keys, "hour", ["us"], sums={"burst": opens.cast("int")}
     )
+    return numbered.groupBy(*keys, "burst").agg(
+        F.timestamp_micros(F.min("us")).alias("first_at"),
+        F.timestamp_micros(F.max("us") + quiet_ms * 1000).alias("refresh_at"),
+        F.sum("n").alias("writes"),
+    ).drop("burst")

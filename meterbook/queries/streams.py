@@ -31,7 +31,7 @@ def _(b):
 def _(b):
     # The table's events lie minutes apart, so the quiet period is longer here.
     writes = b.table("events").select(F.col("ts").cast("timestamp").alias("at"))
-    return cp.coalesce_bursts(writes, quiet="90 seconds")
+    return cp.coalesce_bursts(writes, quiet_ms=90_000)
 
 
 @query(
