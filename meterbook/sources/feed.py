@@ -66,7 +66,7 @@ def rates_from_entries(entries: DataFrame) -> DataFrame:
 
 def scan_price_feed(spark: SparkSession, path: str) -> DataFrame:
     """(model, input, output, cache_write, cache_read) in USD per million."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = text.select(
         F.explode(F.from_json("value", schemas.PRICE_FEED)).alias("key", "e")
     )
