@@ -20,11 +20,13 @@ def total_tokens() -> Column:
 
 def model_breakdown(priced: DataFrame, order: list[str]) -> DataFrame:
     """Per session and model: token counts, cost and first appearance."""
-    return priced.groupBy("provider", "session_id", "model").agg(
+    return priced.groupBy("session_id", "model", "provider").agg(
         *_token_sums(),
         units_sum(F.col("cost_units")).alias("cost_units"),
         F.min(F.struct(*order)).alias("first_ord"),
         F.bool_and("priced").alias("priced"),
+        F.min("ts_ms").alias("first_ms"),
+        F.max("ts_ms").alias("last_ms"),
     ).withColumns(
         {"total_tokens": total_tokens(), "cost": to_usd(F.col("cost_units"))}
     )
@@ -36,31 +38,31 @@ def session_usage(breakdown: DataFrame) -> DataFrame:
     The list holds one entry per distinct model of the session, never one per
     response.
     """
-    entry = F.struct(
-        (-F.col("cost_units")).alias("rank"),
-        F.col("first_ord"),
-        "model",
-        mf.model_vendor(F.col("model")).alias("vendor"),
-        *COUNTS,
-        "total_tokens",
-        "cost",
-    )
-    grouped = breakdown.groupBy("provider", "session_id").agg(
+    place = F.struct((-F.col("cost_units")).alias("rank"), F.col("first_ord"), F.col("model"))
+    part = F.struct(place.alias("place"), *COUNTS, "total_tokens", "cost")
+    span = [c for c in ("first_ms", "last_ms") if c in breakdown.columns]
+    # Two lists, so a reader of the names alone never moves the figures.
+    grouped = breakdown.groupBy("session_id", "provider").agg(
+        *[(F.min if c == "first_ms" else F.max)(c).alias(c) for c in span],
         *_token_sums(),
         F.sum("cost_units").alias("cost_units"),
-        F.sort_array(F.collect_list(entry)).alias("_parts"),
+        F.sort_array(F.collect_list(place)).alias("_names"),
+        F.sort_array(F.collect_list(part)).alias("_parts"),
     )
-    fields = ["model", "vendor", *COUNTS, "total_tokens", "cost"]
+
+    def shown(p: Column) -> Column:
+        model = p["place"]["model"]
+        figures = [p[f].alias(f) for f in (*COUNTS, "total_tokens", "cost")]
+        return F.struct(model.alias("model"), mf.model_vendor(model).alias("vendor"), *figures)
+
     return grouped.withColumns(
         {
             "total_tokens": total_tokens(),
             "cost": to_usd(F.col("cost_units")),
-            "models": F.transform("_parts", lambda p: p["model"]),
-            "model_breakdowns": F.transform(
-                "_parts", lambda p: F.struct(*[p[f].alias(f) for f in fields])
-            ),
+            "models": F.col("_names.model"),
+            "model_breakdowns": F.transform("_parts", shown),
         }
-    ).drop("_parts", "cost_units")
+    ).drop("_names", "_parts", "cost_units")
 
 
 def turn_usage(priced: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def turn_usage(priced: DataFrame) -> DataFrame:
         .distinct()
     )
     turns = (
-        priced.groupBy("provider", "session_id", "turn_id")
+        priced.groupBy("turn_id", "session_id", "provider")
         .agg(
             F.min("ts_ms").alias("start_ms"),
             F.max("ts_ms").alias("end_ms"),

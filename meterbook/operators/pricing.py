@@ -103,13 +103,27 @@ def baked_rows() -> list[tuple]:
     return rows
 
 
+def _literal_table(spark: SparkSession) -> DataFrame:
+    """The price list as literals in the plan, so the planner knows its size."""
+    def lit(value) -> str:
+        if value is None:
+            return "NULL"
+        return f"'{value}'" if isinstance(value, str) else str(value)
+
+    rows = ", ".join("(" + ", ".join(map(lit, row)) + ")" for row in baked_rows())
+    fields = [c.strip().split(" ") for c in DIM_SCHEMA.split(",")]
+    names = ", ".join(name for name, _ in fields)
+    table = spark.sql(f"SELECT * FROM VALUES {rows} AS price({names})")
+    return table.select(*[F.col(name).cast(kind).alias(name) for name, kind in fields])
+
+
 def build_dim_price(spark: SparkSession, feed: DataFrame | None = None) -> DataFrame:
     """Price table: the fixed list, plus feed rows for ids the list lacks.
 
     ``feed`` has (model, input, output, cache_write, cache_read) in USD per
     million. Feed rows have base rates only.
     """
-    baked = spark.createDataFrame(baked_rows(), DIM_SCHEMA)
+    baked = _literal_table(spark)
     if feed is None:
         return baked
 

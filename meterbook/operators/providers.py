@@ -8,6 +8,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import staged
 from ..sources import transcripts as ts
 from . import claude as cl
 from . import codex as cx
@@ -74,7 +75,7 @@ class Claude(_Files):
         return ts.scan_claude(self.spark, self.paths)
 
     def derive(self, dim: DataFrame) -> Derived:
-        records = self.records()
+        records = staged(self.records())
         priced = price_responses(cl.claude_responses(records), dim)
         turns = turn_usage(priced)
         return Derived(model_breakdown(priced, ["ord"]), cl.claude_metadata(records), turns)
@@ -94,9 +95,9 @@ class Codex(_Files):
         return ts.scan_codex(self.spark, self.paths)
 
     def derive(self, dim: DataFrame) -> Derived:
-        records = self.records()
+        records = staged(self.records())
         lines = cx.codex_lines(records)
-        names = cx.codex_turn_names(lines)
+        names = staged(cx.codex_turn_names(lines))
         state = cx.with_turns(cx.codex_state(lines), names)
         priced = price_responses(cx.codex_responses(state), dim)
         turns = cx.codex_turn_usage(priced, cx.codex_turn_spans(state, names))
@@ -164,7 +165,7 @@ class Opencode:
         return oc.opencode_messages(self.message, oc.session_tree(self.session))
 
     def derive(self, dim: DataFrame) -> Derived:
-        messages = self.records()
+        messages = staged(self.records())
         return Derived(
             _ranked(oc.opencode_breakdown(messages, dim)),
             oc.opencode_metadata(self.session, messages, self.part),

@@ -63,7 +63,7 @@ def dedupe_claude(responses: DataFrame, order: list[str]) -> DataFrame:
     """
     named = responses.filter(F.col("response_id").isNotNull())
     rest = responses.filter(F.col("response_id").isNull())
-    return first_by(named, ["provider", "session_id", "response_id"], order).unionByName(rest)
+    return first_by(named, ["response_id", "session_id", "provider"], order).unionByName(rest)
 
 
 def usage_key(usage: Column) -> Column:
@@ -82,7 +82,7 @@ def dedupe_codex(events: DataFrame, order: list[str]) -> DataFrame:
     """First event per cumulative key in a session; keyless events all stay."""
     keyed = events.filter(F.col("usage_key").isNotNull())
     rest = events.filter(F.col("usage_key").isNull())
-    return first_by(keyed, ["provider", "session_id", "usage_key"], order).unionByName(rest)
+    return first_by(keyed, ["session_id", "usage_key", "provider"], order).unionByName(rest)
 
 
 def codex_token_split(usage_input: Column, cached: Column, write: Column) -> dict[str, Column]:

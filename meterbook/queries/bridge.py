@@ -19,7 +19,7 @@ from ..operators.breakdown import model_breakdown, session_usage, turn_usage
 from ..operators.pricing import build_dim_price, price_responses
 from ..operators.responses import dedupe_claude
 from ..plans.sessions import derive
-from ..session import configure
+from ..session import configure, staged
 
 PROVIDERS = ["claude", "codex", "copilot", "opencode"]
 MODELS = [
@@ -76,7 +76,6 @@ class Bridge:
                 F.unix_millis(F.col("l_shipdate").cast("timestamp")) + minutes * 60_000
             ).alias("ts_ms"),
             model.alias("model_raw"),
-            mf.normalize_model_for(provider, model).alias("model"),
             count(F.col("l_quantity") * 1000).alias("input"),
             count(F.col("l_extendedprice") / 10).alias("output"),
             (count(F.col("l_tax") * 100) * 500).alias("cache_write"),
@@ -86,7 +85,9 @@ class Bridge:
 
     @cached_property
     def responses(self) -> DataFrame:
-        return dedupe_claude(self.raw_responses, RESPONSE_ORDER)
+        once = dedupe_claude(self.raw_responses, RESPONSE_ORDER)
+        model = mf.normalize_model_for(F.col("provider"), F.col("model_raw"))
+        return once.withColumn("model", model)
 
     @cached_property
     def priced(self) -> DataFrame:
@@ -137,17 +138,12 @@ class Bridge:
             )
         )
 
-    @cached_property
-    def spans(self) -> DataFrame:
-        return self.responses.groupBy("provider", "session_id").agg(
-            F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("last_ms")
-        )
-
     @cached_property
     def sessions(self) -> DataFrame:
         """Ledger sessions; every fiftieth has no recorded end."""
-        keys = ["provider", "session_id"]
-        joined = self.usage.join(self.spans, keys).join(self.metadata, "session_id")
+        joined = self.usage.withColumnRenamed("first_ms", "start_ms").join(
+            self.metadata, "session_id"
+        )
         end = F.when(F.pmod(F.col("o_orderkey"), F.lit(50)) != 7, F.col("last_ms"))
         return derive(
             joined.withColumns(
@@ -159,6 +155,19 @@ class Bridge:
             ).drop("o_orderkey", "last_ms")
         )
 
+    @cached_property
+    def stored_sessions(self) -> DataFrame:
+        """The sessions staged once, for queries that read them repeatedly."""
+        return staged(self.sessions)
+
+    @cached_property
+    def stored_turns(self) -> DataFrame:
+        return staged(self.turns)
+
+    @cached_property
+    def stored_ledger(self) -> DataFrame:
+        return staged(self.ledger)
+
     @cached_property
     def ledger(self) -> DataFrame:
         """The derived sessions in stored-ledger columns."""

@@ -9,7 +9,7 @@ from ..operators import ledger as lg
 from ..operators import opencode as oc
 from ..operators import pricing as pr
 from ..operators import responses as rs
-from ..operators.quality import health_report  # noqa: F401
+from ..session import staged
 from ..sources.feed import rates_from_entries
 from .bridge import RESPONSE_ORDER, sql_codex, sql_normalize, sql_normalize_for, sql_usd
 from .registry import query
@@ -255,7 +255,7 @@ def _key():
 
 
 def _old(b):
-    return b.ledger.filter(F.pmod(_key(), F.lit(5)) != 0).drop("models")
+    return b.stored_ledger.filter(F.pmod(_key(), F.lit(5)) != 0).drop("models")
 
 
 def _new(b):
@@ -267,7 +267,7 @@ def _new(b):
         kind == 2, F.lit("-0.001").cast("decimal(18,6)")
     ).otherwise(F.lit("0").cast("decimal(18,6)"))
     return (
-        b.ledger.filter(F.pmod(k, F.lit(7)) != 0)
+        b.stored_ledger.filter(F.pmod(k, F.lit(7)) != 0)
         .drop("models")
         .withColumns(
             {
@@ -327,7 +327,7 @@ def _(b):
     WHERE action IN ('insert', 'replace')""",
 )
 def _(b):
-    rows = b.turns.select("session_id", "turn_id", "start_ms")
+    rows = b.stored_turns.select("session_id", "turn_id", "start_ms")
     old = rows.withColumn("side", F.lit("old"))
     new = rows.withColumns({"side": F.lit("new"), "start_ms": F.col("start_ms") + 1})
     return lg.merge_turns(old, new, lg.merge_ledger(_old(b), _new(b)))
@@ -590,8 +590,8 @@ def _(b):
     FROM starts JOIN sums USING (session_id, turn_id) LEFT JOIN ends USING (session_id, turn_id)""",
 )
 def _(b):
-    lines = _rollout(b)
-    names = cx.codex_turn_names(lines, ORDER)
+    lines = staged(_rollout(b))
+    names = staged(cx.codex_turn_names(lines, ORDER))
     turned = cx.with_turns(cx.codex_state(lines, ORDER), names, ORDER)
     spans = cx.codex_turn_spans(turned, names, ORDER)
     sums = turned.filter("kind = 'usage'").groupBy("session_id", "turn_id").agg(

@@ -28,7 +28,7 @@ projects AS (SELECT p.*, dom.family, CAST(cost AS DOUBLE) / greatest(1, sessions
     "family, machines, avg_cost FROM projects",
 )
 def _(b):
-    return projects.project_summary(b.sessions).drop("seen")
+    return projects.project_summary(b.stored_sessions).drop("seen")
 
 
 @query(
@@ -40,7 +40,7 @@ def _(b):
       (SELECT CAST(sum(cost) AS DOUBLE) / greatest(1, count(*)) FROM projects) AS avg_cost FROM a, z""",
 )
 def _(b):
-    return projects.project_kpis(projects.project_summary(b.sessions))
+    return projects.project_kpis(projects.project_summary(b.stored_sessions))
 
 
 for _by, _k in (("cost", 5), ("cost", 10), ("tokens", 10)):
@@ -53,7 +53,7 @@ for _by, _k in (("cost", 5), ("cost", 10), ("tokens", 10)):
         FROM projects ORDER BY {_by} DESC, seen LIMIT {_k}""",
     )
     def _(b, by=_by, k=_k):
-        return projects.top_projects(projects.project_summary(b.sessions), by, k)
+        return projects.top_projects(projects.project_summary(b.stored_sessions), by, k)
 
 
 @query(
@@ -75,7 +75,7 @@ def _(b):
       coalesce(CAST(sum(cost) AS DOUBLE), 0) / (SELECT CAST(total AS DOUBLE) FROM t) FROM r WHERE rank > 3""",
 )
 def _(b):
-    return projects.concentration(projects.project_summary(b.sessions))
+    return projects.concentration(projects.project_summary(b.stored_sessions))
 
 
 @query(
@@ -94,7 +94,7 @@ def _(b):
     FROM cells JOIN feet USING (series) QUALIFY cost <> 0""",
 )
 def _(b):
-    return projects.project_family_matrix(b.sessions)
+    return projects.project_family_matrix(b.stored_sessions)
 
 
 @query(
@@ -103,7 +103,7 @@ def _(b):
     "family, machines, last_ms FROM projects",
 )
 def _(b):
-    return projects.project_table(projects.project_summary(b.sessions), "avg_cost", False)
+    return projects.project_table(projects.project_summary(b.stored_sessions), "avg_cost", False)
 
 
 MATCH = """(contains(lower(slug), 'sol') OR contains(lower(session_id), 'sol') OR contains(lower(project), 'sol')
@@ -134,7 +134,7 @@ def _(b):
     coalesce(CAST(sum(cost) FILTER (WHERE {MATCH}) AS DOUBLE), 0) AS cost FROM sessions WHERE {IN_30}""",
 )
 def _(b):
-    return projects.session_table_count(ps.period_filter(b.sessions, NOW), "sol")
+    return projects.session_table_count(ps.period_filter(b.stored_sessions, NOW), "sol")
 
 
 # Sessions without a recorded end stand for old records without breakdowns.
@@ -151,7 +151,7 @@ vendors AS (SELECT * FROM exact UNION ALL SELECT * FROM old)"""
 def _vendors(b):
     old = F.col("end_ms").isNull()
     kept = F.when(~old, F.col("model_breakdowns"))
-    return vendor_split(b.sessions.withColumn("model_breakdowns", kept))
+    return vendor_split(b.stored_sessions.withColumn("model_breakdowns", kept))
 
 
 @query("vendor_split", ["sessions", "breakdown"], f"WITH {VENDORS} SELECT * FROM vendors")
@@ -187,7 +187,7 @@ def _rounded(df):
 
 @query("detail_rollup", ["sessions", "breakdown"], _rollup_sql("project = 'proj-3'"))
 def _(b):
-    part = detail.slice_project(b.sessions, "proj-3")
+    part = detail.slice_project(b.stored_sessions, "proj-3")
     return _rounded(detail.detail_rollup(part, _vendors(b)))
 
 
@@ -204,7 +204,7 @@ SLICES = {
 
 
 def _slice(b, kind):
-    s = b.sessions
+    s = b.stored_sessions if kind == "other" else b.sessions
     if kind == "day":
         return detail.slice_day(s, date(2001, 10, 20), ZONE)
     if kind == "project":

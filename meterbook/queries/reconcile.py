@@ -19,14 +19,14 @@ def _found(b):
     return b.raw_responses.select(
         "provider", "session_id",
         F.concat(F.lit("/data/"), "response_id", F.lit("/"), "model_raw", F.lit(".jsonl")).alias("transcript_path"),
-        F.concat_ws("/", F.lit("home"), "model").alias("project_path"),
+        F.concat_ws("/", F.lit("home"), "model_raw").alias("project_path"),
         F.col("ts_ms").alias("mtime_ms"),
         F.col("input").alias("size"),
     )
 
 
 FOUND = """found AS (SELECT provider, session_id, '/data/' || response_id || '/' || model_raw || '.jsonl' AS transcript_path,
-  'home/' || model AS project_path, ts_ms AS mtime_ms, input AS size FROM raw_responses)"""
+  'home/' || model_raw AS project_path, ts_ms AS mtime_ms, input AS size FROM raw_responses)"""
 
 
 @query(
@@ -65,7 +65,7 @@ for _name, _text, _where in (
 )
 def _(b):
     tail = F.when(F.pmod(_key(), F.lit(4)) == 0, "x").otherwise("")
-    found = b.ledger.select(
+    found = b.stored_ledger.select(
         "provider", "session_id", F.concat("source_fingerprint", tail).alias("fingerprint")
     )
     return rc.needs_sync(found, _old(b))
@@ -77,7 +77,7 @@ def _(b):
       AND session_id <> 's-5' AND NOT EXISTS (SELECT 1 FROM old o WHERE o.session_id = l.session_id)""",
 )
 def _(b):
-    found = b.ledger.select("session_id", F.col("completed_ms").alias("mtime_ms"))
+    found = b.stored_ledger.select("session_id", F.col("completed_ms").alias("mtime_ms"))
     return rc.backfill_candidates(found, _old(b), NOW_MS - 86_400_000 * 30, "s-5")
 
 
@@ -159,7 +159,7 @@ def _(b):
 # Every tenth session loses its cost and every sixteenth its arithmetic.
 def _worn(b):
     k = _key()
-    return b.sessions.withColumns(
+    return b.stored_sessions.withColumns(
         {
             "cost": F.when(k % 10 == 0, F.lit(0).cast("decimal(18,6)")).otherwise(F.col("cost")),
             "total_tokens": F.col("total_tokens") + F.when(k % 16 == 0, 1).otherwise(0),
@@ -193,15 +193,15 @@ def _zero(b):
 def _forked(b):
     k = _key()
     return qc.check_forked_ledgers(
-        b.sessions.filter(F.pmod(k, F.lit(5)) != 0), b.sessions.filter(F.pmod(k, F.lit(7)) == 0)
+        b.stored_sessions.filter(F.pmod(k, F.lit(5)) != 0), b.stored_sessions.filter(F.pmod(k, F.lit(7)) == 0)
     )
 
 
 TODAY = date(2001, 11, 20)
 CHECKS = {
     "check_zero_cost": (ZERO, _zero),
-    "check_unpriced_models": (UNPRICED, lambda b: qc.check_unpriced_models(b.sessions, b.dim_price)),
-    "check_machine_recency": (QUIET, lambda b: qc.check_machine_recency(b.sessions, TODAY)),
+    "check_unpriced_models": (UNPRICED, lambda b: qc.check_unpriced_models(b.stored_sessions, b.dim_price)),
+    "check_machine_recency": (QUIET, lambda b: qc.check_machine_recency(b.stored_sessions, TODAY)),
     "check_token_arithmetic": (SUMS, lambda b: qc.check_token_arithmetic(_worn(b))),
     "check_forked_ledgers": (FORKED, _forked),
 }

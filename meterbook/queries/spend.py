@@ -70,8 +70,8 @@ def _(b):
       AND (SELECT max(t_ms) FROM sessions)""",
 )
 def _(b):
-    period = Period.of(b.sessions, "90d")
-    return ps.period_filter(b.sessions, period).select("session_id", "t_ms", "cost")
+    period = Period.of(b.stored_sessions, "90d")
+    return ps.period_filter(b.stored_sessions, period).select("session_id", "t_ms", "cost")
 
 
 @query(
@@ -193,7 +193,7 @@ def _heat_sql() -> str:
     _heat_sql() + " SELECT * REPLACE (strftime(day, '%Y-%m-%d') AS day) FROM heat",
 )
 def _(b):
-    return spend.spend_heatmap(b.sessions, NOW, DAYS, ZONE)
+    return spend.spend_heatmap(b.stored_sessions, NOW, DAYS, ZONE)
 
 
 @query(
@@ -205,7 +205,7 @@ def _(b):
     SELECT *, CASE WHEN prior_cost <> 0 THEN (current_cost - prior_cost) / prior_cost END AS change FROM sides""",
 )
 def _(b):
-    return spend.heatmap_summary(spend.spend_heatmap(b.sessions, NOW, DAYS, ZONE))
+    return spend.heatmap_summary(spend.spend_heatmap(b.stored_sessions, NOW, DAYS, ZONE))
 
 
 @query(
@@ -309,7 +309,7 @@ def _(b):
 
 # Turns of every seventh line are left out, so some sessions fall back.
 def _some_turns(b):
-    return b.turns.filter(~F.col("turn_id").endswith("-7"))
+    return b.stored_turns.filter(~F.col("turn_id").endswith("-7"))
 
 
 def _traffic_sql(days: int, step: int) -> str:
@@ -340,12 +340,12 @@ TURN_NEEDS = ["sessions", "turns"]
 
 @query("token_traffic", TURN_NEEDS, _traffic_sql(30, 3_600_000) + " SELECT * FROM traffic")
 def _(b):
-    return tokens.token_traffic(b.sessions, _some_turns(b), NOW)
+    return tokens.token_traffic(b.stored_sessions, _some_turns(b), NOW)
 
 
 @query("token_traffic_fine", TURN_NEEDS, _traffic_sql(14, 900_000) + " SELECT * FROM traffic")
 def _(b):
-    return tokens.token_traffic(b.sessions, _some_turns(b), Period.at(NOW_MS, 14))
+    return tokens.token_traffic(b.stored_sessions, _some_turns(b), Period.at(NOW_MS, 14))
 
 
 @query(
@@ -357,7 +357,7 @@ def _(b):
     CAST(sum(sessions) AS BIGINT) AS sessions FROM traffic""",
 )
 def _(b):
-    return tokens.traffic_summary(tokens.token_traffic(b.sessions, _some_turns(b), NOW))
+    return tokens.traffic_summary(tokens.token_traffic(b.stored_sessions, _some_turns(b), NOW))
 
 
 def sql_nice(v: str) -> str:
@@ -381,4 +381,4 @@ def sql_nice(v: str) -> str:
       CASE WHEN broken THEN (SELECT count(*) FROM v WHERE v > ceil_) ELSE 0 END AS outliers FROM d""",
 )
 def _(b):
-    return tokens.robust_scale(tokens.token_traffic(b.sessions, _some_turns(b), NOW), "total_tokens")
+    return tokens.robust_scale(tokens.token_traffic(b.stored_sessions, _some_turns(b), NOW), "total_tokens")

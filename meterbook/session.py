@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -31,6 +32,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return current
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet in the shared folder, and read back.
+
+    For a table several branches of one job read: they then share one
+    computation, read only the columns they need, and a lost executor costs a
+    re-read rather than the whole lineage.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/meterbook-stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(app: str = "meterbook", cores: str | None = None) -> SparkSession:
     """A local session for tests and the benchmark."""
     cores = cores or os.environ.get("BENCH_CPUS", "*")
