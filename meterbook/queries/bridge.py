@@ -158,8 +158,17 @@ class Bridge:
     @cached_property
     def stored_sessions(self) -> DataFrame:
         """The sessions staged once, for queries that read them repeatedly."""
+        return staged(self.sessions.drop("model_breakdowns"))
+
+    @cached_property
+    def stored_records(self) -> DataFrame:
+        """The same with their per-model breakdowns."""
         return staged(self.sessions)
 
+    def share_priced(self) -> None:
+        """Stage the priced responses, for queries that fold them twice."""
+        self.__dict__["priced"] = staged(self.priced)
+
     @cached_property
     def stored_turns(self) -> DataFrame:
         return staged(self.turns)

@@ -151,7 +151,7 @@ vendors AS (SELECT * FROM exact UNION ALL SELECT * FROM old)"""
 def _vendors(b):
     old = F.col("end_ms").isNull()
     kept = F.when(~old, F.col("model_breakdowns"))
-    return vendor_split(b.stored_sessions.withColumn("model_breakdowns", kept))
+    return vendor_split(b.stored_records.withColumn("model_breakdowns", kept))
 
 
 @query("vendor_split", ["sessions", "breakdown"], f"WITH {VENDORS} SELECT * FROM vendors")
@@ -187,7 +187,7 @@ def _rounded(df):
 
 @query("detail_rollup", ["sessions", "breakdown"], _rollup_sql("project = 'proj-3'"))
 def _(b):
-    part = detail.slice_project(b.stored_sessions, "proj-3")
+    part = detail.slice_project(b.stored_records, "proj-3")
     return _rounded(detail.detail_rollup(part, _vendors(b)))
 
 

@@ -308,8 +308,10 @@ def _(b):
 
 
 # Turns of every seventh line are left out, so some sessions fall back.
-def _some_turns(b):
-    return b.stored_turns.filter(~F.col("turn_id").endswith("-7"))
+def _traffic(b, period):
+    b.share_priced()
+    some = b.stored_turns.filter(~F.col("turn_id").endswith("-7"))
+    return tokens.token_traffic(b.stored_sessions, some, period)
 
 
 def _traffic_sql(days: int, step: int) -> str:
@@ -340,12 +342,12 @@ TURN_NEEDS = ["sessions", "turns"]
 
 @query("token_traffic", TURN_NEEDS, _traffic_sql(30, 3_600_000) + " SELECT * FROM traffic")
 def _(b):
-    return tokens.token_traffic(b.stored_sessions, _some_turns(b), NOW)
+    return _traffic(b, NOW)
 
 
 @query("token_traffic_fine", TURN_NEEDS, _traffic_sql(14, 900_000) + " SELECT * FROM traffic")
 def _(b):
-    return tokens.token_traffic(b.stored_sessions, _some_turns(b), Period.at(NOW_MS, 14))
+    return _traffic(b, Period.at(NOW_MS, 14))
 
 
 @query(
@@ -357,7 +359,7 @@ def _(b):
     CAST(sum(sessions) AS BIGINT) AS sessions FROM traffic""",
 )
 def _(b):
-    return tokens.traffic_summary(tokens.token_traffic(b.stored_sessions, _some_turns(b), NOW))
+    return tokens.traffic_summary(_traffic(b, NOW))
 
 
 def sql_nice(v: str) -> str:
@@ -381,4 +383,4 @@ def sql_nice(v: str) -> str:
       CASE WHEN broken THEN (SELECT count(*) FROM v WHERE v > ceil_) ELSE 0 END AS outliers FROM d""",
 )
 def _(b):
-    return tokens.robust_scale(tokens.token_traffic(b.stored_sessions, _some_turns(b), NOW), "total_tokens")
+    return tokens.robust_scale(_traffic(b, NOW), "total_tokens")
