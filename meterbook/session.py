@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import pathlib
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,22 +18,53 @@ def configure(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on; leave every sizing decision alone."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application.
+
+    Workers then import it whatever folder the driver was started in.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    files = sorted(f for f in package.rglob("*.py"))
+    digest = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:16]
+    folder = tempfile.mkdtemp(prefix="meterbook-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = f"{folder}/{package.name}-{digest}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in files:
+            out.write(f, str(f.relative_to(package.parent)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests, does a fresh local folder stand in for it.
+    A cluster names it in ``spark.checkpoint.dir``; without it only a local
+    master may go on, with a fresh folder that goes when the process ends.
     """
+    sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(named)
         return named
-    current = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         current = tempfile.mkdtemp(prefix="meterbook-checkpoint-")
-        spark.sparkContext.setCheckpointDir(current)
+        atexit.register(shutil.rmtree, current, True)
+        sc.setCheckpointDir(current)
     return current
 
 
