@@ -96,12 +96,17 @@ class Index:
         return found
 
 
+def band(length: int) -> int:
+    """How far a copy may leave its diagonal: less for short templates, which may follow each other."""
+    return min(BAND, max(1, length // 3))
+
+
 def clusters(anchors: list[tuple[int, int]], length: int) -> Iterator[tuple[int, int, int]]:
     """(smallest diagonal, largest, last text place) of anchors that one copy could make."""
     low = high = last = None
     for at, place in sorted(anchors):
         diagonal = at - place
-        if low is not None and at - last <= length and min(abs(diagonal - low), abs(diagonal - high)) <= BAND:
+        if low is not None and at - last <= length and min(abs(diagonal - low), abs(diagonal - high)) <= band(length):
             low, high, last = min(low, diagonal), max(high, diagonal), at
             continue
         if low is not None:
@@ -158,7 +163,7 @@ def matches(text: str | None, index: Index, coverage: float = COVERAGE) -> list[
     for name, found in anchors.items():
         template = index.templates[name]
         for low, high, _ in clusters(found, len(template)):
-            got = align(words, template, low - BAND, high + BAND)
+            got = align(words, template, low - band(len(template)), high + band(len(template)))
             if got and got[0] >= coverage * len(template):
                 out.add((name, places[got[1]][0], places[got[2] - 1][1], got[0], len(template)))
     return sorted(out, key=lambda m: (m[1], m[0], m[2]))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_rows, prepare, staged, unstage
+from .common import columns, free_name, map_rows, prepare, staged, unstage
 from .graph import components
 
 WORDS = 5
@@ -244,6 +244,6 @@ def _completion(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents, all columns, less all but one of each group."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_")).distinct()
-    mine = F.col("`doc_id`").cast("long")
-    return docs.join(gone, mine == F.col("gone_"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("`doc_id`").cast("long") == F.col(name), "left_anti")

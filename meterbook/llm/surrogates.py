@@ -121,14 +121,15 @@ def _name(entity: Column, key: str, attempt: int) -> Column:
     title = F.regexp_extract(entity, rf"^(?:{_TITLES})\.?", 0)
     words = F.split(F.substring(entity, F.length(title) + 2, F.length(entity)), " ")
     given, family = F.when(F.size(words) > 1, words[0]), F.element_at(words, -1)
-    female = F.rtrim(F.lit("."), title).isin(*_FEMALE)
+    female = F.rtrim(title, F.lit(".")).isin(*_FEMALE)
     out: Column = F.lit(None)
     for script in ("latin", "greek", "cyrillic"):
         seed = lambda part, what: F.xxhash64(F.sha2(F.concat(F.lit(f"{key}\0{what}\0{attempt}\0"), part), 256))
         draw = lambda i, s=script: _pick(_SYLLABLES[s], F.xxhash64(seed(family, "family"), F.lit(i)))
         last = F.initcap(F.concat(*(draw(i) for i in range(3 + attempt // 4))))
         first = [_pick(_GIVEN[script, g], seed(given, g)) for g in ("female", "male")]
-        built = F.concat_ws(" ", title, F.when(female, first[0]).otherwise(first[1]), last)
+        given_new = F.when(F.size(words) > 1, F.when(female, first[0]).otherwise(first[1]))
+        built = F.concat_ws(" ", title, given_new, last)
         inside = F.lit(True) if script == "latin" else family.rlike(rf"\p{{Is{script.capitalize()}}}")
         out = F.when(inside, built).otherwise(out)
     return out
