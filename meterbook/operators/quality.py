@@ -29,15 +29,16 @@ def check_unparseable(bad_files: DataFrame) -> DataFrame:
 def check_pricing_misses(misses: DataFrame, dim: DataFrame, now_ms: int) -> DataFrame:
     """Misses of the last week: red while unpriced, yellow once priced.
 
-    ``misses`` has (at_ms, line, provider, model), one row per model of a log
-    line. A line with one unpriced model is still live.
+    ``misses`` has (line_id, at_ms, line, provider, model), one row per model of a
+    log line. A line with one unpriced model, or with none named, is still
+    live. Equal lines are findings of their own.
     """
     recent = misses.filter(
         (F.col("at_ms") >= now_ms - WEEK_MS) & ~F.col("line").contains("<synthetic>")
     )
     gone = unknown_models(recent, dim).withColumn("gone", F.lit(True))
-    live = F.coalesce(F.bool_or("gone"), F.lit(False))
-    lines = recent.join(gone, ["provider", "model"], "left").groupBy("line").agg(
+    live = F.bool_or(F.coalesce("gone", F.lit(False)) | F.col("model").isNull())
+    lines = recent.join(gone, ["provider", "model"], "left").groupBy("line_id", "line").agg(
         F.when(live, "red").otherwise("yellow").alias("severity")
     )
     return _finding(lines, "pricing_miss", F.col("severity"), F.col("line"), F.lit(1))

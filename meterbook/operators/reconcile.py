@@ -110,26 +110,18 @@ RECORD_TYPES = {
     "turn_context": "codex",
     "session.start": "copilot",
 }
-HEAD_BYTES = 131_072
-
-
-def _inside_head(lines: DataFrame) -> DataFrame:
-    """Lines of the head of each file.
-
-    ``offset`` is where a line starts; a source without it is taken whole.
-    """
-    return lines.filter(F.col("offset") < HEAD_BYTES) if "offset" in lines.columns else lines
 
 
 def detect_provider(lines: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Provider of each file by its first telling record, else by its root.
 
     ``lines`` has (path, ord, value); ``roots`` has (root, provider). Files
-    that neither names get a null provider.
+    that neither names get a null provider. The first telling record counts
+    wherever it stands, whatever the size of what precedes it.
     """
     kind = F.try_variant_get(F.try_parse_json("value"), "$.type", "string")
     table = F.create_map(*[F.lit(x) for pair in RECORD_TYPES.items() for x in pair])
-    told = _inside_head(lines).select("path", "ord", F.try_element_at(table, kind).alias("host"))
+    told = lines.select("path", "ord", F.try_element_at(table, kind).alias("host"))
     by_type = told.groupBy("path").agg(
         F.min_by("host", F.when(F.col("host").isNotNull(), F.col("ord"))).alias("by_type")
     )
@@ -166,8 +158,7 @@ def automation_gate(hooks: DataFrame, lines: DataFrame, keep_all: bool = False)
     pattern = r'"entrypoint"\s*:\s*"([^"]+)"'
     said = F.nullif(F.regexp_extract("value", pattern, 1), F.lit(""))
     head = (
-        _inside_head(lines)
-        .filter(F.col("value").contains('"entrypoint"'))
+        lines.filter(F.col("value").contains('"entrypoint"'))
         .select(F.col("path").alias("transcript_path"), "ord", said.alias("said"))
         .groupBy("transcript_path")
         .agg(F.min_by("said", F.when(F.col("said").isNotNull(), F.col("ord"))).alias("said"))

@@ -1,12 +1,8 @@
-"""Opencode stores: exported tables, or the SQLite files of many machines."""
+"""Opencode stores as exported tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame
 
 from .. import schemas
 
@@ -17,60 +13,6 @@ TABLES = {
 }
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    """One partition per database file, so machines read in parallel."""
-
-    def __init__(self, files: list[str], table: str, columns: list[str]):
-        self.files, self.table, self.columns = files, table, columns
-
-    def partitions(self) -> list[InputPartition]:
-        return [_File(f) for f in self.files]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        import sqlite3
-
-        names = ", ".join(f'"{c}"' for c in self.columns)
-        link = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
-        try:
-            # The cursor yields rows one by one; a file is never held whole.
-            for row in link.execute(f'SELECT {names} FROM "{self.table}"'):
-                yield tuple(row)
-        finally:
-            link.close()
-
-
-class OpencodeSqlite(DataSource):
-    """Format ``opencode_sqlite`` with options ``files`` and ``table``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "opencode_sqlite"
-
-    def schema(self) -> str:
-        return TABLES[self.options["table"]]
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        files = [f for f in self.options["files"].split("\n") if f]
-        return _Reader(files, self.options["table"], schema.fieldNames())
-
-
-def scan_opencode_sqlite(spark: SparkSession, files: list[str]) -> dict[str, DataFrame]:
-    """The three tables of the given database files."""
-    spark.dataSource.register(OpencodeSqlite)
-    return {
-        t: spark.read.format("opencode_sqlite")
-        .option("table", t)
-        .option("files", "\n".join(files))
-        .load()
-        for t in TABLES
-    }
-
-
 def scan_opencode(session: DataFrame, message: DataFrame, part: DataFrame) -> dict[str, DataFrame]:
     """Exported tables cut to the columns the library reads, with their types."""
     given = {"session": session, "message": message, "part": part}

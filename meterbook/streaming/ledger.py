@@ -27,24 +27,28 @@ def stream_ledger(
     return writer.start()
 
 
-def stream_capture_health(events: DataFrame) -> DataFrame:
-    """Hook health per provider after each batch; write in update mode.
+def stream_capture_health(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Hook health per key after each batch; write in update mode.
 
-    For a fleet, put the machine into the provider key.
+    ``keys`` are text columns, by default the provider alone; a fleet adds its
+    machine or user, so that no key gathers the events of all.
     """
     use_rocksdb(events.sparkSession)
-    return events.groupBy("provider").transformWithState(
-        HookHealth(), HookHealth.OUTPUT, "Update", "None"
+    keys = keys or ["provider"]
+    return events.groupBy(*keys).transformWithState(
+        HookHealth(keys), HookHealth.output(keys), "Update", "None"
     )
 
 
 def stream_bursts(
-    writes: DataFrame, keys: list[str], lateness: str = "10 seconds",
+    writes: DataFrame, keys: list[str], lateness: str,
     quiet: str = "1500 milliseconds",
 ) -> DataFrame:
     """Writes of one ledger within 1.5 s of each other as one refresh.
 
-    ``keys`` names the ledger; write it in append mode.
+    ``keys`` names the ledger; write it in append mode. A burst is reported once
+    ``lateness`` has passed, and a write later than that asks for no refresh of
+    its own; ``coalesce_bursts`` over the stored writes counts every one.
     """
     timed = writes.withWatermark("at", lateness)
     bursts = timed.groupBy(*keys, F.session_window("at", quiet).alias("burst"))
@@ -57,13 +61,13 @@ def stream_bursts(
 
 
 def stream_settlement(
-    events: DataFrame, quiet_ms: int = 1_000, timeout_ms: int = 15_000,
-    lateness: str = "0 seconds",
+    events: DataFrame, lateness: str, quiet_ms: int = 1_000, timeout_ms: int = 15_000,
 ) -> DataFrame:
     """Outcome of each capture run once it settles or times out.
 
     ``events`` has (run_id, capture_id, kind, status, at); timers follow the
-    watermark of ``at``.
+    watermark of ``at``, which stays ``lateness`` behind. Events later than that
+    are not part of the outcome; ``settle_runs`` over the stored events is.
     """
     use_rocksdb(events.sparkSession)
     timed = events.withWatermark("at", lateness).withColumn("at_ms", F.unix_millis("at"))

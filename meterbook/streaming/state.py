@@ -29,19 +29,33 @@ def _is_json(text: str) -> bool:
 class LineAssembler(StatefulProcessor):
     """Complete lines of a file from its increments, numbered in order.
 
-    An incomplete last record waits for the next increment of its file.
+    Increments are taken by their own number, one after the other: one that
+    arrives early waits until those before it are here, one that comes again is
+    left out. The first number is that of ``first``. An incomplete last record
+    waits for the next increment of its file.
     """
 
     OUTPUT = "source string, line bigint, value string"
 
+    def __init__(self, first: int = 1):
+        self.first = first
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rest = handle.getValueState("rest", "tail string, line bigint")
+        self.rest = handle.getValueState("rest", "tail string, line bigint, next bigint")
+        # Increments that came early, one entry at a time on disk.
+        self.early = handle.getMapState("early", "increment bigint", "text string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.rest.get() if self.rest.exists() else None
-        tail, line = (held[0], held[1]) if held else ("", 0)
-        for row in sorted(rows, key=lambda r: r.increment):
-            *full, tail = (tail + row.text).split("\n")
+        tail, line, wanted = tuple(held) if held else ("", 0, self.first)
+        for row in rows:
+            if row.increment >= wanted:
+                self.early.updateValue((row.increment,), (row.text,))
+        while self.early.containsKey((wanted,)):
+            text = self.early.getValue((wanted,))[0]
+            self.early.removeKey((wanted,))
+            wanted += 1
+            *full, tail = (tail + text).split("\n")
             if tail.strip() and _is_json(tail):
                 full.append(tail)
                 tail = ""
@@ -49,7 +63,7 @@ class LineAssembler(StatefulProcessor):
                 if value.strip():
                     yield Row(source=key[0], line=line, value=value)
                     line += 1
-        self.rest.update((tail, line))
+        self.rest.update((tail, line, wanted))
 
     def close(self) -> None:
         pass
@@ -59,7 +73,8 @@ class CarryInForce(StatefulProcessor):
     """Model, tier and turn in force on each usage line, kept across batches.
 
     Input rows are flat rollout lines with (line, kind, declared, tier_set,
-    context_id, at) and the event's own payload in ``body``.
+    context_id, at) and the event's own payload in ``body``. Usage before the
+    first declared model waits for it, as that model is also the one before.
     """
 
     OUTPUT = (
@@ -73,6 +88,9 @@ class CarryInForce(StatefulProcessor):
         )
         # Start time of every turn so far, one entry at a time on disk.
         self.known = handle.getMapState("known", "turn string", "start string")
+        self.waiting = handle.getListState(
+            "waiting", "line bigint, tier string, turn_id string, turn_start string, at string, body string"
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.now.get() if self.now.exists() else None
@@ -80,6 +98,10 @@ class CarryInForce(StatefulProcessor):
         batch = sorted(rows, key=lambda r: r.line)
         if model is None:
             model = next((r.declared for r in batch if r.declared), None)
+            if model is not None and self.waiting.exists():
+                for line, *values in self.waiting.get():
+                    yield self._row(key[0], model, line, *values)
+                self.waiting.clear()
         for r in batch:
             model = r.declared or model
             tier = r.tier_set or tier
@@ -95,12 +117,19 @@ class CarryInForce(StatefulProcessor):
             if turn is None:
                 turn, start, turns = "turn-1", r.at, turns + 1
                 self.known.updateValue((turn,), (start,))
-            yield Row(
-                session_id=key[0], line=r.line, model=model or "unknown", tier=tier,
-                turn_id=turn, turn_start=start, at=r.at, body=r.body,
-            )
+            if model is None:
+                self.waiting.appendValue((r.line, tier, turn, start, r.at, r.body))
+            else:
+                yield self._row(key[0], model, r.line, tier, turn, start, r.at, r.body)
         self.now.update((model, tier, turn, start, turns))
 
+    @staticmethod
+    def _row(session, model, line, tier, turn, start, at, body) -> Row:
+        return Row(
+            session_id=session, line=line, model=model, tier=tier,
+            turn_id=turn, turn_start=start, at=at, body=body,
+        )
+
     def close(self) -> None:
         pass
 
@@ -108,12 +137,18 @@ class CarryInForce(StatefulProcessor):
 class HookHealth(StatefulProcessor):
     """Latest attempt, success and failure per host, in arrival order."""
 
-    OUTPUT = (
-        "provider string, last_attempt_ms bigint, last_attempt_event string, "
+    STATE = (
+        "last_attempt_ms bigint, last_attempt_event string, "
         "last_attempt_status string, last_success_ms bigint, last_failure_ms bigint, "
         "last_failure_message string"
     )
-    STATE = OUTPUT.split(",", 1)[1]
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+
+    @classmethod
+    def output(cls, keys: list[str]) -> str:
+        return ", ".join([*(f"{k} string" for k in keys), cls.STATE])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.health = handle.getValueState("health", self.STATE)
@@ -132,7 +167,7 @@ class HookHealth(StatefulProcessor):
         self.health.update(tuple(h))
         names = ["last_attempt_ms", "last_attempt_event", "last_attempt_status",
                  "last_success_ms", "last_failure_ms", "last_failure_message"]
-        yield Row(provider=key[0], **dict(zip(names, h)))
+        yield Row(**dict(zip(self.keys, key)), **dict(zip(names, h)))
 
     def close(self) -> None:
         pass

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.spend import SUMS
 
@@ -20,11 +21,30 @@ def turn_windows(turns: DataFrame, interval: str = "15 minutes") -> DataFrame:
     )
 
 
-def stream_traffic(
-    turns: DataFrame, interval: str = "15 minutes", lateness: str = "1 hour"
-) -> DataFrame:
-    """The same over a stream; a late turn updates its window within ``lateness``.
+class TrafficStore:
+    """Window sums of every batch; totals add them up, so no turn is ever too late."""
+
+    SCHEMA = "start_ms bigint, " + "".join(f"{c} bigint, " for c in SUMS) + "total_tokens bigint, turns bigint"
+
+    def __init__(self, spark: SparkSession, root: str, interval: str = "15 minutes"):
+        self.spark, self.root, self.interval = spark, root.rstrip("/"), interval
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        """Replaces what the batch had written before."""
+        turn_windows(batch, self.interval).write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
 
-    Write it in update mode.
-    """
-    return turn_windows(turns.withWatermark("at", lateness), interval)
+    def totals(self) -> DataFrame:
+        rows = self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/batch=*")
+        return rows.groupBy("start_ms").agg(
+            *[F.sum(c).alias(c) for c in [*SUMS, "total_tokens", "turns"]]
+        )
+
+
+def stream_traffic(
+    turns: DataFrame, store: TrafficStore, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """The same over a stream: each batch's sums go to the store."""
+    writer = turns.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store.add)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

@@ -1,14 +1,12 @@
 """Copilot and opencode."""
 
 import json
-import sqlite3
 
 import pytest
 from helpers import one, write_lines
 
 from meterbook import schemas
 from meterbook.operators.providers import Copilot, Opencode, union_providers
-from meterbook.sources.opencode import scan_opencode_sqlite
 
 
 def copilot(root, metrics, sid="cop-1", prompt="Fix the flaky test", done=True):
@@ -141,27 +139,6 @@ def test_opencode_fingerprint_moves_with_messages(spark, dim):
     assert a == b and a != c and a != one(opencode(spark, BASE).fingerprints("v2")).fingerprint
 
 
-def test_opencode_sqlite_files(spark, dim, tmp_path):
-    files = []
-    for n in range(2):
-        path = tmp_path / f"m{n}.db"
-        link = sqlite3.connect(path)
-        for table, kind in (("session", schemas.OPENCODE_SESSION), ("message", schemas.OPENCODE_MESSAGE),
-                            ("part", schemas.OPENCODE_PART)):
-            names = [c.strip().split(" ")[0] for c in kind.split(",")]
-            link.execute(f"CREATE TABLE {table} (extra, {', '.join(names)})")
-        link.execute("INSERT INTO session (id, parent_id, tokens_input, time_created, time_updated) "
-                     f"VALUES ('s{n}', NULL, 5, 1, 2)")
-        link.execute("INSERT INTO message VALUES (0, ?, ?, ?, ?, ?)",
-                     message("m", f"s{n}", 5, "assistant", "gpt-5.4", (10, 1, 0, 0, 0)))
-        link.commit()
-        link.close()
-        files.append(str(path))
-    t = scan_opencode_sqlite(spark, files)
-    d = Opencode(t["session"], t["message"], t["part"]).derive(dim)
-    assert sorted((r.session_id, r.total_tokens) for r in d.usage.collect()) == [("s0", 11), ("s1", 11)]
-
-
 def test_union_of_hosts(spark, dim, tmp_path):
     copilot(tmp_path, {"gpt-5.4-mini": details(1000, 0, 0, 0)})
     usage, meta, turns = union_providers(

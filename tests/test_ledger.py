@@ -73,7 +73,7 @@ def test_old_and_current_records(spark, tmp_path):
 
 CASES = [
     ("/Users/n/natalie/.claude/worktrees/wt-1", "natalie"), ("C:\\src\\natalie\\.claude\\worktrees\\wt\\sub", "natalie"),
-    ("/Users/n/.t3/worktrees/claude-channel/t3code-1", "claude-channel"), ("/Users/n/agent-usage", "agent-usage"),
+    ("/Users/n/.t3/worktrees/claude-channel/t3code-1", "claude-channel"), ("/Users/n/usage-tool", "usage-tool"),
     ("/Users/n/.codex/worktrees/12/natalie", "natalie"), ("/x/.T3/Worktrees/natalie/y/", "natalie"), ("", ""),
     (None, ""), (".claude/worktrees", "worktrees"), ("/a/worktrees/b", "b"),
 ]
@@ -180,15 +180,33 @@ def test_hook_log_and_misses(spark, dim, tmp_path):
     misses = sc.scan_hook_log(spark, str(tmp_path / "hook.log"))
     found = qc.check_pricing_misses(misses, dim, 1_782_900_000_000)
     assert sorted(r.severity for r in found.collect()) == ["red", "yellow"]
+    put(tmp_path / "odd.log", "\n".join(["[2026-07-01T10:00:00.000Z] pricing miss billed at $0"] * 2))
+    odd = qc.check_pricing_misses(sc.scan_hook_log(spark, str(tmp_path / "odd.log")), dim, 1_782_900_000_000)
+    assert [r.severity for r in odd.collect()] == ["red", "red"]
+
+
+def test_legacy_header_names_the_columns(spark, tmp_path):
+    put(tmp_path / "a.csv", 'session_id,models,project,end_time\none,claude-opus-5,"a, b",2026-01-01T00:00:00Z\nshort\n')
+    put(tmp_path / "b.csv", "project,session_id\np,two\n")
+    rows = {r.session_id: r for r in sl.scan_legacy_csv(spark, str(tmp_path)).filter("NOT malformed").collect()}
+    assert (rows["one"].project, rows["one"].models, rows["one"].machine) == ("a, b", "claude-opus-5", None)
+    assert rows["two"].project == "p" and len(rows) == 2
+
+
+def test_the_later_record_wins(spark, tmp_path):
+    schema = "session_id string, session_slug string, end_time string, timestamp string, total_tokens bigint"
+    both = spark.createDataFrame([("s", "a", "e", "2026-01-01", 1), ("s", "a", "e", "2026-01-02", 2)], schema)
+    sl.write_ledger_json(both, str(tmp_path / "out"))
+    assert one(spark.read.json(str(tmp_path / "out"))).total_tokens == 2
 
 
 def test_capture_run_files(spark, tmp_path):
     def result(i, **extra):
-        return {"schema_version": 1, "run_id": "r1", "capture_id": f"c{i}", "completed_at": f"2026-07-01T10:00:0{i}Z", **extra}
+        return {"schema_version": 1, "run_id": "r1", "capture_id": f"capture-{i}", "completed_at": f"2026-07-01T10:00:0{i}Z", **extra}
     good = {"status": "recorded", "project": "p", "total_tokens": 5, "total_cost_usd": 0.5, "shard_path": "x"}
     base = tmp_path / "r1"
-    put(base / "pending" / "c1.json", {})
-    put(base / "pending" / "c9.json", {})
+    put(base / "pending" / "capture-1.json", {})
+    put(base / "pending" / "capture-9.json", {})
     put(base / "results" / "c1.json", result(1, **good))
     put(base / "results" / "c2.json", result(2, **{**good, "total_cost_usd": -1}))
     put(base / "results" / "c3.json", result(3, status="no_usage", reason="whatever"))
@@ -196,7 +214,7 @@ def test_capture_run_files(spark, tmp_path):
     put(base / "results" / "c5.json", {**result(5, **good), "run_id": "other"})
     put(base / "results" / "c6.json", '{"half": ')
     pending, results = sc.scan_capture_runs(spark, str(tmp_path))
-    assert sorted(r.capture_id for r in results.collect()) == ["c1", "c4"]
+    assert sorted(r.capture_id for r in results.collect()) == ["capture-1", "capture-4"]
     from meterbook.operators.capture import settle_runs
 
     r = one(settle_runs(pending, results))

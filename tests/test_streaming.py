@@ -8,7 +8,7 @@ from meterbook.operators.pricing import price_responses
 from meterbook.plans.spend import SUMS
 from meterbook.sources.ledger import LedgerStore
 from meterbook.streaming import ingest, ledger as sl
-from meterbook.streaming.traffic import stream_traffic, turn_windows
+from meterbook.streaming.traffic import TrafficStore, stream_traffic, turn_windows
 
 T0 = datetime(2026, 7, 1, 10, tzinfo=timezone.utc)
 
@@ -28,39 +28,80 @@ def run(df, tmp, name):
     return df.sparkSession.read.schema(df.schema).parquet(str(tmp / name))
 
 
+def deduped(df, tmp):
+    """Run a stream of responses through the store of seen ids, a batch per folder."""
+    spark = df.sparkSession
+    seen = ingest.SeenResponses(spark, str(tmp / "seen"), buckets=4)
+    sink = lambda batch, n: batch.write.mode("overwrite").parquet(str(tmp / "out" / f"n={n}"))
+    ingest.stream_dedupe(df, seen, sink, str(tmp / "out-ck")).awaitTermination(120)
+    return spark.read.schema(df.schema).parquet(str(tmp / "out" / "n=*"))
+
+
 def claude(spark, tmp_path):
     lines = ingest.partial_tail(ingest.stream_increments(spark, str(tmp_path / "in")))
-    return ingest.stream_dedupe(ingest.stream_claude_responses(lines))
+    return ingest.stream_claude_responses(lines)
 
 
 def test_increments_partial_tail_and_dedupe(spark, dim, tmp_path):
     body = text(said("a", "claude-opus-5", (1000, 0, 0, 100)), said("b", "claude-opus-5", (10, 0, 0, 1)))
     cut = len(body) - 40
     put(tmp_path / "in", SID, 1, body[:cut])
-    assert [r.response_id for r in run(claude(spark, tmp_path), tmp_path, "out").collect()] == ["a"]
+    assert [r.response_id for r in deduped(claude(spark, tmp_path), tmp_path).collect()] == ["a"]
     put(tmp_path / "in", SID, 2, body[cut:] + text(said("a", "claude-opus-5", (1000, 0, 0, 100))))
     put(tmp_path / "in", SID, 3, json.dumps(said("c", "claude-opus-5", (5, 0, 0, 5))))
-    rows = run(claude(spark, tmp_path), tmp_path, "out")
+    rows = deduped(claude(spark, tmp_path), tmp_path)
     assert sorted(r.response_id for r in rows.collect()) == ["a", "b", "c"]
     priced = price_responses(rows, dim)
     assert priced.filter("response_id = 'a'").first().cost_units == 75_000_000_000
 
 
+def test_old_responses_and_early_increments_count(spark, tmp_path):
+    july = text(said("a", "claude-opus-5", (1, 0, 0, 1), at="2026-07-01T10:00:00.000Z"))
+    may = text(said("b", "claude-opus-5", (2, 0, 0, 1), at="2026-05-01T10:00:00.000Z"))
+    put(tmp_path / "in", SID, 1, july)
+    put(tmp_path / "in", SID, 3, may[30:])
+    assert [r.response_id for r in deduped(claude(spark, tmp_path), tmp_path).collect()] == ["a"]
+    put(tmp_path / "in", SID, 2, july + may[:30])
+    rows = deduped(claude(spark, tmp_path), tmp_path).collect()
+    assert sorted(r.response_id for r in rows) == ["a", "b"]
+
+
+def test_seen_ids_replay(spark, tmp_path):
+    seen = ingest.SeenResponses(spark, str(tmp_path / "seen"), buckets=2)
+    rows = lambda *ids: spark.createDataFrame([("s", i, 1) for i in ids], "session_id string, response_id string, n int")
+    new = lambda batch, n: sorted(r.response_id or "" for r in seen.fresh(batch, n).collect())
+    assert new(rows("a", "a", None), 0) == ["", "a"]
+    assert new(rows("a", "b", None), 1) == ["b"] == new(rows("a", "b", None), 1)
+    assert new(rows("a", "a", None), 0) == ["", "a"]
+
+
+def test_usage_waits_for_the_first_model(spark, tmp_path):
+    def carried():
+        lines = ingest.partial_tail(ingest.stream_increments(spark, str(tmp_path / "in")))
+        return ingest.codex_stream_responses(ingest.stream_carry(lines))
+
+    put(tmp_path / "in", SID, 1, text(counted((7, 0, 0, 1))))
+    assert run(carried(), tmp_path, "out").count() == 0
+    put(tmp_path / "in", SID, 2, text(context("gpt-5.4", "t1"), counted((9, 0, 0, 1))))
+    rows = run(carried(), tmp_path, "out").orderBy("input").collect()
+    assert [(r.model, r.turn_id, r.input) for r in rows] == [("gpt-5.4", "turn-1", 7), ("gpt-5.4", "t1", 9)]
+
+
 def test_carry_over_batches(spark, dim, tmp_path):
     def carried():
         lines = ingest.partial_tail(ingest.stream_increments(spark, str(tmp_path / "in")))
-        return ingest.stream_dedupe(ingest.codex_stream_responses(ingest.stream_carry(lines)))
+        return ingest.codex_stream_responses(ingest.stream_carry(lines))
 
     put(tmp_path / "in", SID, 1, text(
         counted((1, 0, 0, 1)), context("gpt-5.4", "t1"), counted((1000, 0, 0, 100), total=(1000, 0, 0, 100)),
     ))
-    run(carried(), tmp_path, "out")
+    deduped(carried(), tmp_path)
     put(tmp_path / "in", SID, 2, text(
         settings(model="gpt-5.6-sol", service_tier="priority"),
         counted((1000, 0, 0, 100), total=(1000, 0, 0, 100)),
         counted((2000, 0, 0, 200), total=(3000, 0, 0, 300)),
     ))
-    rows = run(carried(), tmp_path, "out").orderBy("input", "model").collect()
+    rows = deduped(carried(), tmp_path).orderBy("input", "model").collect()
     assert [(r.model, r.speed, r.turn_id, r.input) for r in rows] == [
         ("gpt-5.4", "default", "turn-1", 1), ("gpt-5.4", "default", "t1", 1000),
         ("gpt-5.6-sol", "priority", "t1", 2000),
@@ -101,6 +142,29 @@ def test_fold_equals_one_by_one(spark):
     assert {r.session_id: (r.provider, r.total_tokens, float(r.cost), r.fp) for r in got} == brute(rows)
 
 
+def test_redelivered_checkpoints_stay_one_row(spark, tmp_path):
+    rows = [("s", "claude", 1, 10, 1.0, "a"), ("s", "claude", 1, 10, 1.0, "a"), ("s", "claude", 1, 8, 0.5, "b"), ("t", "claude", 1, 1, 0.1, "c")]
+    got = {r.session_id: (r.total_tokens, r.fp) for r in fold_checkpoints(checkpoints(spark, rows)).collect()}
+    assert got == {"s": (10, "a"), "t": (1, "c")}
+    store = LedgerStore(spark, str(tmp_path / "ledger"), buckets=2)
+    store.merge(checkpoints(spark, rows))
+    store.merge(checkpoints(spark, rows + rows))
+    assert store.read().count() == 2
+
+
+def test_a_new_listing_outranks_removed_ones(spark, tmp_path):
+    import shutil
+
+    store = LedgerStore(spark, str(tmp_path / "ledger"), buckets=2)
+    for n in (1, 2, 3):
+        store.merge(checkpoints(spark, [("s", "claude", n, 10 * n, 1.0 * n, f"f{n}")]))
+    live = tmp_path / "ledger" / "live"
+    for old in sorted(live.iterdir())[:2]:
+        shutil.rmtree(old)
+    store.merge(checkpoints(spark, [("s", "claude", 4, 40, 4.0, "f4")]))
+    assert [r.total_tokens for r in store.read().collect()] == [40]
+
+
 def test_ledger_stream_never_lowers_usage(spark, tmp_path):
     first = [("s", "claude", 1, 1000, 1.5, "f1"), ("t", "claude", 1, 5, 0.1, "g1")]
     later = [("s", "claude", 2, 900, 0.9, "f2"), ("s", "claude", 3, 800, 0.8, "f3"),
@@ -151,7 +215,7 @@ def test_bursts(spark, tmp_path):
     kind = "ledger string, at timestamp"
     spark.createDataFrame([("l", a) for a in at], kind).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
-    rows = run(sl.stream_bursts(stream, ["ledger"]), tmp_path, "out").orderBy("first_at").collect()
+    rows = run(sl.stream_bursts(stream, ["ledger"], "10 seconds"), tmp_path, "out").orderBy("first_at").collect()
     # The last burst stays open until a later write closes it.
     assert [r.writes for r in rows] == [3, 1]
     whole = coalesce_bursts(spark.read.parquet(str(tmp_path / "in")), keys=["ledger"]).orderBy("first_at")
@@ -167,11 +231,9 @@ def test_traffic_windows_match_batch(spark, tmp_path):
         spark.createDataFrame(part, schema).write.parquet(str(tmp_path / "in" / f"b{n}"))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option(
         "maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    state = {}
-    stream_traffic(stream).writeStream.outputMode("update").option(
-        "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(
-        lambda df, _: state.update({r.start_ms: r.turns for r in df.collect()})
-    ).start().awaitTermination(120)
+    store = TrafficStore(spark, str(tmp_path / "windows"))
+    stream_traffic(stream, store, str(tmp_path / "ck")).awaitTermination(120)
+    state = {r.start_ms: r.turns for r in store.totals().collect()}
     batch = {r.start_ms: r.turns for r in turn_windows(spark.createDataFrame(rows, schema)).collect()}
     assert state == batch and max(batch.values()) == 3
 
@@ -193,7 +255,7 @@ def test_settlement_and_timeout(spark, tmp_path):
     for n, rows in enumerate(batches):
         spark.createDataFrame(rows, RUN).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
         stream = spark.readStream.schema(RUN).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-        out = run(sl.stream_settlement(stream), tmp_path, "out")
+        out = run(sl.stream_settlement(stream, "0 seconds"), tmp_path, "out")
     rows = {r.run_id: r for r in out.collect()}
     assert (rows["good"].timed_out, rows["good"].recorded, rows["good"].unresolved) == (False, 1, 0)
     assert (rows["stuck"].timed_out, rows["stuck"].unresolved) == (True, 1)
