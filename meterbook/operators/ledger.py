@@ -112,21 +112,25 @@ def merge_turns(existing: DataFrame, nxt: DataFrame, merged: DataFrame) -> DataF
     )
 
 
-def combine_ledgers(source: DataFrame, destination: DataFrame) -> DataFrame:
+def combine_ledgers(
+    source: DataFrame, destination: DataFrame, report_conflicts: bool = False
+) -> DataFrame:
     """Union of two ledgers; a regressing source row loses to the destination.
 
-    The same session under two hosts is a conflict and fails the job.
+    The same session under two hosts is a conflict. It fails the job, or with
+    ``report_conflicts`` stays as the destination has it, marked ``conflict``.
     """
     both = _paired(source, destination, ("s", "d"))
     matched = F.col("s").isNotNull() & F.col("d").isNotNull()
     clash = matched & (_host("s") != _host("d"))
+    fail = F.raise_error(F.concat(F.lit("conflicting ledger row: "), "session_id"))
     action = (
-        F.when(clash, F.raise_error(F.concat(F.lit("conflicting ledger row: "), "session_id")))
+        F.when(clash, F.lit("conflict") if report_conflicts else fail)
         .when(F.col("s").isNull(), "untouched")
         .when(matched & _regresses("s", "d"), "retained")
         .otherwise("copied")
     )
-    from_d = F.col("action").isin("untouched", "retained")
+    from_d = F.col("action").isin("untouched", "retained", "conflict")
     rest = [c for c in destination.columns if c != "session_id"]
     return both.withColumn("action", action).select(
         "session_id",

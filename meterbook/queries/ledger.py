@@ -333,18 +333,14 @@ def _(b):
     return lg.merge_turns(old, new, lg.merge_ledger(_old(b), _new(b)))
 
 
-COMBINED = VERSIONS + """, src AS (SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o
-    WHERE o.session_id = n.session_id AND o.provider <> n.provider)),
-  both_ AS (SELECT coalesce(s.session_id, d.session_id) AS session_id,
-  CASE WHEN s.session_id IS NULL THEN 'untouched' WHEN d.session_id IS NOT NULL
+COMBINED = VERSIONS + """, both_ AS (SELECT coalesce(s.session_id, d.session_id) AS session_id,
+  CASE WHEN s.provider <> d.provider THEN 'conflict' WHEN s.session_id IS NULL THEN 'untouched' WHEN d.session_id IS NOT NULL
     AND (s.total_tokens < d.total_tokens OR s.cost < d.cost) THEN 'retained' ELSE 'copied' END AS action, s, d
-  FROM src s FULL JOIN old d ON s.session_id = d.session_id)"""
+  FROM new s FULL JOIN old d ON s.session_id = d.session_id)"""
 
 
 def _combined(b):
-    other = _old(b).select("session_id", F.col("provider").alias("_p"))
-    clash = _new(b).join(other, "session_id").filter("provider <> _p").select("session_id")
-    return lg.combine_ledgers(_new(b).join(clash, "session_id", "left_anti"), _old(b))
+    return lg.combine_ledgers(_new(b), _old(b), report_conflicts=True)
 
 
 @query(

@@ -123,14 +123,13 @@ def _buckets_sql(n: int) -> str:
     FROM (SELECT unnest(range({n})) AS i) g LEFT JOIN (
       SELECT least(greatest(floor((t_ms - {START_MS}) / {width}), 0), {n - 1}) AS i,
         sum(cost) AS cost, count(*) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS tokens
-      FROM sessions WHERE t_ms > {START_MS - 30 * DAY_MS} GROUP BY 1) s ON s.i = g.i"""
+      FROM sessions GROUP BY 1) s ON s.i = g.i"""
 
 
 @query("interval_buckets", ["sessions"], _buckets_sql(24))
 def _(b):
-    # Sessions of the month before fall into the first slice.
-    recent = b.sessions.filter(F.col("t_ms") > START_MS - 30 * DAY_MS)
-    return spend.interval_buckets(recent, NOW, 24)
+    # Sessions outside the period fall into the first and last slice.
+    return spend.interval_buckets(b.sessions, NOW, 24)
 
 
 @query(
