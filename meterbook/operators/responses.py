@@ -56,14 +56,22 @@ def billable_codex() -> Column:
     )
 
 
+def _first_of_named(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """First row per name in a session; rows without one all stay. One scan.
+
+    A row without a name gets a number of its own as part of the key.
+    """
+    own = F.when(F.col(name).isNull(), F.monotonically_increasing_id())
+    keys = [name, "session_id", "provider", "_own"]
+    return first_by(df.withColumn("_own", own), keys, order).drop("_own")
+
+
 def dedupe_claude(responses: DataFrame, order: list[str]) -> DataFrame:
     """One billing event per response id over the whole session tree.
 
     Rows without an id are never taken for repeats.
     """
-    named = responses.filter(F.col("response_id").isNotNull())
-    rest = responses.filter(F.col("response_id").isNull())
-    return first_by(named, ["response_id", "session_id", "provider"], order).unionByName(rest)
+    return _first_of_named(responses, "response_id", order)
 
 
 def usage_key(usage: Column) -> Column:
@@ -80,9 +88,7 @@ def usage_key(usage: Column) -> Column:
 
 def dedupe_codex(events: DataFrame, order: list[str]) -> DataFrame:
     """First event per cumulative key in a session; keyless events all stay."""
-    keyed = events.filter(F.col("usage_key").isNotNull())
-    rest = events.filter(F.col("usage_key").isNull())
-    return first_by(keyed, ["session_id", "usage_key", "provider"], order).unionByName(rest)
+    return _first_of_named(events, "usage_key", order)
 
 
 def codex_token_split(usage_input: Column, cached: Column, write: Column) -> dict[str, Column]:

@@ -8,7 +8,6 @@ primary_model, family.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +37,27 @@ def derive(sessions: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
 class Period:
-    """A window of the ledger; both ends count as inside."""
+    """A window of the ledger; both ends count as inside.
 
-    start: Column
-    end: Column
-    days: Column
+    Bounds are columns, or numbers that become literals when they are used, so
+    that a fixed window needs no session to be named.
+    """
+
+    def __init__(self, start: Column | int, end: Column | int, days: Column | int):
+        self._start, self._end, self._days = start, end, days
+
+    @property
+    def start(self) -> Column:
+        return F.lit(self._start) if isinstance(self._start, int) else self._start
+
+    @property
+    def end(self) -> Column:
+        return F.lit(self._end) if isinstance(self._end, int) else self._end
+
+    @property
+    def days(self) -> Column:
+        return F.lit(self._days).cast("bigint") if isinstance(self._days, int) else self._days
 
     @classmethod
     def at(cls, now_ms: int, days: int) -> "Period":
@@ -52,7 +65,7 @@ class Period:
 
         Literal bounds, so they prune at the source.
         """
-        return cls(F.lit(now_ms - days * DAY_MS), F.lit(now_ms), F.lit(days).cast("bigint"))
+        return cls(now_ms - days * DAY_MS, now_ms, days)
 
     @classmethod
     def of(cls, sessions: DataFrame, range_key: str, now_ms: int = 0) -> "Period":
@@ -63,7 +76,7 @@ class Period:
         end = F.greatest(span["hi"], F.lit(now_ms))
         days = RANGE_DAYS[range_key]
         if days is not None:
-            return cls(end - days * DAY_MS, end, F.lit(days).cast("bigint"))
+            return cls(end - days * DAY_MS, end, days)
         start = span["lo"]
         whole = F.greatest(F.lit(1), F.ceil((end - start) / DAY_MS)).cast("bigint")
         return cls(start, end, whole)

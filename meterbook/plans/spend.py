@@ -248,22 +248,22 @@ def spend_by_day_family(
     """Days by family; with more than seven families the rest is Other."""
     inside = sessions.filter(period.holds())
     cells = calendar_families(inside, period.end, _chart_days(period, selected, 180), tz)
-    totals = cells.groupBy("family").agg(
-        F.sum("cost").alias("total"), F.min(F.struct("day", "first_ord")).alias("seen")
-    )
-    # Families come from a fixed list of ten.
-    every = Window.partitionBy(F.lit(0))
-    ranked = totals.withColumns(
+    # A cell is a day of the chart and one of ten families: few rows, whatever the
+    # ledger's size, so ranks come from windows over the cells, not a second pass.
+    own, every = Window.partitionBy("family"), Window.partitionBy(F.lit(0))
+    totals = cells.withColumns(
         {
-            "rank": F.row_number().over(every.orderBy(F.desc("total"), F.asc("seen"))),
-            "families": F.count(F.lit(1)).over(every),
+            "total": F.sum("cost").over(own),
+            "seen": F.min(F.struct("day", "first_ord")).over(own),
         }
     )
+    ranked = totals.withColumn(
+        "rank", F.dense_rank().over(every.orderBy(F.desc("total"), F.asc("seen"), F.asc("family")))
+    ).withColumn("families", F.max("rank").over(every))
     label = F.when((F.col("families") <= 7) | (F.col("rank") <= 7), F.col("family"))
-    shown = ranked.select("family", F.coalesce(label, F.lit("Other")).alias("series"))
     return (
-        cells.join(shown, "family")
-        .groupBy("day", F.col("series").alias("family"))
+        ranked.withColumn("family", F.coalesce(label, F.lit("Other")))
+        .groupBy("day", "family")
         .agg(F.sum("cost").alias("cost"))
         .filter("cost <> 0")
     )

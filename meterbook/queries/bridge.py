@@ -19,7 +19,7 @@ from ..operators.breakdown import model_breakdown, session_usage, turn_usage
 from ..operators.pricing import build_dim_price, price_responses
 from ..operators.responses import dedupe_claude
 from ..plans.sessions import derive
-from ..session import configure, staged
+from ..session import configure, spread, staged
 
 PROVIDERS = ["claude", "codex", "copilot", "opencode"]
 MODELS = [
@@ -68,7 +68,7 @@ class Bridge:
         model = _pick(MODELS, F.pmod(F.col("l_partkey"), F.lit(10)))
         minutes = line * 7 + F.pmod(F.col("l_suppkey"), F.lit(60))
         count = lambda c: F.round(c).cast("bigint")
-        return self.table("lineitem").select(
+        return spread(self.table("lineitem").select(
             provider.alias("provider"),
             F.concat(F.lit("s-"), key).alias("session_id"),
             F.concat_ws("-", key, line).alias("response_id"),
@@ -81,7 +81,7 @@ class Bridge:
             (count(F.col("l_tax") * 100) * 500).alias("cache_write"),
             (count(F.col("l_discount") * 100) * 30_000).alias("cache_read"),
             F.when(F.col("l_returnflag") == "R", "fast").otherwise("standard").alias("speed"),
-        )
+        ))
 
     @cached_property
     def responses(self) -> DataFrame:

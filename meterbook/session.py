@@ -81,6 +81,16 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a table comes in fewer splits than half of them.
+
+    A table of one row group is read by one task; what follows need not be. Large
+    tables have splits enough and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
+
+
 def local_session(app: str = "meterbook", cores: str | None = None) -> SparkSession:
     """A local session for tests and the benchmark."""
     cores = cores or os.environ.get("BENCH_CPUS", "*")
