@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -70,3 +71,21 @@ def test_components(spark, links):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     low = min(min(x) for x in links)
     assert got == {i: low for x in links for i in x}
+
+
+@pytest.mark.parametrize("large, block", [(1, 3), (4, 256)])
+def test_dense_regions_in_blocks(frame, monkeypatch, large, block):
+    """Copies far from and near to each other, completed by zones and by pairs."""
+    monkeypatch.setattr(neardup, "LARGE", large)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for k in range(60):
+        copy = list(base)
+        for at in rng.sample(range(70), rng.choice([1, 1, 2, 4, 6])):
+            copy[at] = f"x{rng.randrange(40)}"
+        rows.append((k, " ".join(copy)))
+    got = {tuple(r) for r in neardup.near_duplicates(frame(*rows)).collect()}
+    assert got == brute(rows)
+    assert 1 < len({r[2] for r in got}) < 60
