@@ -65,17 +65,33 @@ def session_usage(breakdown: DataFrame) -> DataFrame:
     ).drop("_names", "_parts", "cost_units")
 
 
-def turn_usage(priced: DataFrame) -> DataFrame:
-    """Per session and turn: span, counts, cost and models.
-
-    A claude session with one undated billed response has no turns at all, so
-    its turns are removed by an anti join.
-    """
-    undated = (
+def _undated(priced: DataFrame) -> DataFrame:
+    """Claude sessions with an undated billed response: they have no turns at all."""
+    return (
         priced.filter((F.col("provider") == "claude") & F.col("ts_ms").isNull())
         .select("provider", "session_id")
         .distinct()
     )
+
+
+def turn_models(priced: DataFrame) -> DataFrame:
+    """Per session, turn and model: counts and cost, in long form.
+
+    A turn may use any number of models, so they are rows beside the turn, keyed
+    like it, not a list inside it.
+    """
+    parts = (
+        priced.groupBy("turn_id", "session_id", "provider", "model")
+        .agg(*_token_sums(), units_sum(F.col("cost_units")).alias("cost_units"))
+        .withColumns({"total_tokens": total_tokens(), "cost": to_usd(F.col("cost_units"))})
+        .withColumn("vendor", mf.model_vendor(F.col("model")))
+        .drop("cost_units")
+    )
+    return parts.join(_undated(priced), ["provider", "session_id"], "left_anti")
+
+
+def turn_usage(priced: DataFrame) -> DataFrame:
+    """Per session and turn: span, counts and cost; ``turn_models`` has its models."""
     turns = (
         priced.groupBy("turn_id", "session_id", "provider")
         .agg(
@@ -87,4 +103,4 @@ def turn_usage(priced: DataFrame) -> DataFrame:
         .withColumns({"total_tokens": total_tokens(), "cost": to_usd(F.col("cost_units"))})
         .drop("cost_units")
     )
-    return turns.join(undated, ["provider", "session_id"], "left_anti")
+    return turns.join(_undated(priced), ["provider", "session_id"], "left_anti")

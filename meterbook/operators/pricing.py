@@ -241,8 +241,19 @@ def unknown_models(used: DataFrame, dim: DataFrame) -> DataFrame:
     return keyed.join(table, ["view", "key"], "left_anti").select("provider", "model")
 
 
+def rule_text() -> str:
+    """What prices a response beside the rates: aliases and the long-context threshold."""
+    aliases = ",".join(f"{a}={b}" for a, b in sorted(mf.CODEX_ALIASES.items()))
+    return f"{LONG_CONTEXT_TOKENS};{aliases}"
+
+
 def price_version(dim: DataFrame) -> DataFrame:
-    """One row: 16 hex digits that change with any rate, ``none`` when empty."""
+    """One row: 16 hex digits that change with any rate, alias or threshold.
+
+    ``none`` for an empty table. Rows are hashed in 4,096 groups by a prefix of
+    their own hash and the group hashes together, so that a long feed never
+    meets in one list.
+    """
     entry = F.concat_ws(
         ":",
         "view",
@@ -254,9 +265,14 @@ def price_version(dim: DataFrame) -> DataFrame:
         ],
         F.col("fast_x10").cast("string"),
     )
-    listing = F.array_join(F.sort_array(F.collect_list(entry)), "|")
-    return dim.agg(
+    rows = dim.select(entry.alias("entry")).withColumn("cell", F.left(F.sha2("entry", 256), F.lit(3)))
+    cells = rows.groupBy("cell").agg(
+        F.sha2(F.array_join(F.sort_array(F.collect_list("entry")), "|"), 256).alias("h")
+    )
+    listing = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "cell", "h"))), "|")
+    whole = F.sha2(F.concat_ws("|", F.lit(rule_text()), listing), 256)
+    return cells.agg(
         F.when(F.count(F.lit(1)) == 0, "none")
-        .otherwise(F.left(F.sha2(listing, 256), F.lit(16)))
+        .otherwise(F.left(whole, F.lit(16)))
         .alias("price_version")
     )

@@ -9,9 +9,10 @@ from ..operators import ledger as lg
 from ..operators import opencode as oc
 from ..operators import pricing as pr
 from ..operators import responses as rs
+from ..operators.breakdown import model_breakdown, session_usage, turn_models
 from ..session import staged
 from ..sources.feed import rates_from_entries
-from .bridge import RESPONSE_ORDER, sql_codex, sql_normalize, sql_normalize_for, sql_usd
+from .bridge import RESPONSE_ORDER, sql_codex, sql_normalize, sql_normalize_for, sql_usd, sql_vendor
 from .registry import query
 
 COUNTS = "input, output, cache_write, cache_read"
@@ -75,18 +76,6 @@ def _(b):
     return pr.unknown_models(b.responses, b.dim_price)
 
 
-@query(
-    "price_version", ["dim_price"],
-    """SELECT left(sha256(string_agg(e, '|' ORDER BY e)), 16) AS price_version FROM (
-    SELECT concat_ws(':', view, model, """
-    + ", ".join(f"coalesce(CAST({k}_{r} AS VARCHAR), '-')" for k in ("rate", "long")
-                for r in ("input", "output", "write", "read"))
-    + ", CAST(fast_x10 AS VARCHAR)) AS e FROM dim_price)",
-)
-def _(b):
-    return pr.price_version(b.dim_price)
-
-
 # A feed built from the part table: every brand and size names a model.
 FEED_KEYS = "CASE WHEN p_size % 10 = 0 THEN 'x/' ELSE '' END || CASE p_partkey % 4 WHEN 0 THEN 'claude-nova-' WHEN 1 THEN 'gpt-' WHEN 2 THEN 'claude-opus-' ELSE 'Tide-' END || p_size"
 
@@ -156,6 +145,27 @@ def _(b):
     )
 
 
+# The price list with the feed of the part table, its aliases and its threshold.
+@query(
+    "price_version", ["dim_price"],
+    f"""WITH {FEED_SQL}, extra AS (SELECT unnest(['shared', 'openai']) AS view, model,
+      CAST(round(CAST(input AS DOUBLE) * 1000000) AS BIGINT) AS rate_input,
+      CAST(round(CAST(output AS DOUBLE) * 1000000) AS BIGINT) AS rate_output,
+      CAST(round(CAST(w AS DOUBLE) * 1000000) AS BIGINT) AS rate_write,
+      CAST(round(CAST(r AS DOUBLE) * 1000000) AS BIGINT) AS rate_read FROM feed),
+    e AS (SELECT concat_ws(':', view, model, """
+    + ", ".join(f"coalesce(CAST({k}_{r} AS VARCHAR), '-')" for k in ("rate", "long")
+                for r in ("input", "output", "write", "read"))
+    + f""", CAST(fast_x10 AS VARCHAR)) AS e FROM dim_price UNION ALL
+      SELECT concat_ws(':', view, model, rate_input, rate_output, rate_write, rate_read, '-', '-', '-', '-', 10)
+      FROM extra x WHERE NOT EXISTS (SELECT 1 FROM dim_price d WHERE d.view = x.view AND d.model = x.model)),
+    c AS (SELECT left(sha256(e), 3) AS cell, sha256(string_agg(e, '|' ORDER BY e)) AS h FROM e GROUP BY 1)
+    SELECT left(sha256('{pr.rule_text()}' || '|' || string_agg(cell || ':' || h, '|' ORDER BY cell)), 16) AS price_version FROM c""",
+)
+def _(b):
+    return pr.price_version(pr.build_dim_price(b.spark, rates_from_entries(_feed_entries(b))))
+
+
 # Host-reported costs: credits for copilot, dollars for opencode.
 @query(
     "native_cost", ["responses", "breakdown"],
@@ -211,14 +221,28 @@ def _(b):
     )
 
 
+@query(
+    "turn_models", ["priced"],
+    f"""SELECT session_id, response_id AS turn_id, model, {sql_vendor('model')} AS vendor,
+    CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output,
+    CAST({sql_usd('sum(cost_units)')} AS DOUBLE) AS cost FROM priced GROUP BY ALL""",
+)
+def _(b):
+    parts = turn_models(b.priced.withColumn("turn_id", F.col("response_id")))
+    return parts.select("session_id", "turn_id", "model", "vendor", "input", "output", "cost")
+
+
 @query(
     "drop_zero_usage", ["usage"],
-    "SELECT session_id, cache_write FROM usage WHERE cache_write > 0",
+    """SELECT session_id, total_tokens FROM usage WHERE CAST(substr(session_id, 3) AS BIGINT) % 5 <> 0""",
 )
 def _(b):
-    # Cache writes stand in for the total, which is never zero here.
-    some = b.usage.select("session_id", F.col("cache_write").alias("total_tokens"))
-    return rs.drop_zero_usage(some).withColumnRenamed("total_tokens", "cache_write")
+    # Every fifth session has billed responses without a single token.
+    key = F.substr("session_id", F.lit(3)).cast("bigint")
+    counts = [F.when(F.pmod(key, F.lit(5)) == 0, 0).otherwise(F.col(c)).alias(c) for c in (*rs.COUNTS, "cost_units")]
+    rest = [c for c in b.priced.columns if c not in (*rs.COUNTS, "cost_units")]
+    emptied = session_usage(model_breakdown(b.priced.select(*rest, *counts), ["ts_ms", "response_id"]))
+    return rs.drop_zero_usage(emptied).select("session_id", "total_tokens")
 
 
 ISO = "strftime(make_timestamp({} * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
