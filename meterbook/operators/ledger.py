@@ -13,7 +13,7 @@ from ..functions.money import USD
 from .responses import COUNTS, first_by
 
 # Fields that travel together when recorded usage is kept.
-USAGE = [*COUNTS, "total_tokens", "cost", "models", "model_breakdowns"]
+USAGE = [*COUNTS, "total_tokens", "cost", "models", "model_breakdowns", "turns_key"]
 
 
 def iso(ms: Column) -> Column:
