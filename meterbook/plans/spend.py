@@ -238,16 +238,23 @@ def heatmap_summary(heatmap: DataFrame) -> DataFrame:
     return totals.withColumn("change", F.when(prev != 0, (cur - prev) / prev))
 
 
-def _chart_days(period: Period, selected: int | None, high: int) -> Column:
-    return F.lit(selected) if selected else period.day_count(30, high)
+def _chart_days(period: Period, selected: int | None, longest: int | None) -> Column:
+    """Days of a chart: the chosen ones, else the whole span, at least 30.
+
+    ``longest`` bounds the span, for a chart that must fit a screen; days before it
+    are then not shown.
+    """
+    if selected:
+        return F.lit(selected)
+    return period.day_count(30, longest if longest else 1 << 30)
 
 
 def spend_by_day_family(
-    sessions: DataFrame, period: Period, selected: int | None, tz: str
+    sessions: DataFrame, period: Period, selected: int | None, tz: str, longest: int | None = None
 ) -> DataFrame:
     """Days by family; with more than seven families the rest is Other."""
     inside = sessions.filter(period.holds())
-    cells = calendar_families(inside, period.end, _chart_days(period, selected, 180), tz)
+    cells = calendar_families(inside, period.end, _chart_days(period, selected, longest), tz)
     # A cell is a day of the chart and one of ten families: few rows, whatever the
     # ledger's size, so ranks come from windows over the cells, not a second pass.
     own, every = Window.partitionBy("family"), Window.partitionBy(F.lit(0))
@@ -270,11 +277,11 @@ def spend_by_day_family(
 
 
 def cumulative_spend(
-    sessions: DataFrame, period: Period, selected: int | None, tz: str
+    sessions: DataFrame, period: Period, selected: int | None, tz: str, longest: int | None = None
 ) -> DataFrame:
     """Running spend by day; marks the start, each Monday and the end."""
     inside = sessions.filter(period.holds())
-    days = calendar_days(inside, period.end, _chart_days(period, selected, 120), tz)
+    days = calendar_days(inside, period.end, _chart_days(period, selected, longest), tz)
     # One row per calendar day reaches these windows.
     whole = Window.partitionBy(F.lit(0))
     upto = whole.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)

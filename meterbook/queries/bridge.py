@@ -464,6 +464,7 @@ def with_ctes(needs: list[str], body: str) -> str:
     if not order:
         return body
     head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
-    if body.lstrip().startswith("WITH "):
-        return f"WITH {head},\n{body.lstrip()[5:]}"
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if body.lstrip().startswith(word):
+            return f"{word}{head},\n{body.lstrip()[len(word):]}"
     return f"WITH {head}\n{body}"

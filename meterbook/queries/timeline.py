@@ -115,7 +115,27 @@ def _(b):
     return tl.concurrency_clusters(_segments(b), ["machine", "day"])
 
 
-@query("concurrency_lanes")
+# Each step places one segment: the lowest lane whose last segment has ended, else a new one.
+@query(
+    "concurrency_lanes", ["wall_sessions"],
+    f"""WITH RECURSIVE {_segments_sql(WEEK)},
+    marked AS (SELECT *, CASE WHEN day_start_ms < max(day_end_ms) OVER (PARTITION BY machine, day
+        ORDER BY day_start_ms, day_end_ms, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      THEN 0 ELSE 1 END AS opens FROM segments),
+    numbered AS (SELECT *, sum(opens) OVER (PARTITION BY machine, day
+      ORDER BY day_start_ms, day_end_ms, session_id) AS cluster FROM marked),
+    o AS (SELECT *, row_number() OVER (PARTITION BY machine, day, cluster
+      ORDER BY day_start_ms, day_end_ms, provider, session_id) AS k FROM numbered),
+    w AS (SELECT machine, day, cluster, k, session_id, CAST(1 AS BIGINT) AS place, [day_end_ms] AS ends FROM o WHERE k = 1
+      UNION ALL SELECT machine, day, cluster, k, session_id, place,
+        CASE WHEN place > len(ends) THEN list_append(ends, day_end_ms)
+          ELSE list_concat(list_append(ends[:place - 1], day_end_ms), ends[place + 1:]) END
+      FROM (SELECT o.machine, o.day, o.cluster, o.k, o.session_id, o.day_end_ms, w.ends,
+          CAST(coalesce(list_position(list_transform(w.ends, lambda e: e <= o.day_start_ms), true), len(w.ends) + 1) AS BIGINT) AS place
+        FROM w JOIN o ON o.machine = w.machine AND o.day = w.day AND o.cluster = w.cluster AND o.k = w.k + 1))
+    SELECT machine, strftime(day, '%Y-%m-%d') AS day, CAST(cluster AS BIGINT) AS cluster, session_id, place - 1 AS lane,
+      max(place) OVER (PARTITION BY machine, day, cluster) AS lane_count FROM w""",
+)
 def _(b):
     return tl.concurrency_lanes(_segments(b), ["machine", "day"]).select(
         "machine", "day", "cluster", "session_id", "lane", "lane_count"
