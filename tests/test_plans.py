@@ -10,8 +10,6 @@ from meterbook.queries.registry import load
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables absent")
-# Lane placement walks rows in order; everything else stays in the JVM.
-PYTHON = {"concurrency_lanes"}
 
 
 def plan(df):
@@ -58,4 +56,21 @@ def test_contract(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
-    assert set(e.oracle_sql()) == set(e.queries()) - PYTHON
+    own = set(load())
+    assert own <= set(e.queries()) and own <= set(e.oracle_sql())
+    assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["claude_responses", "session_usage", "spend_by_day_family"])
+def test_one_scan_of_the_responses(spark, name):
+    scans = load()[name].run(spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
+    assert scans.count("l_quantity") and sum("lineitem" in line for line in scans.split("FileScan")[1:]) == 1
+
+
+def test_listing_queries_needs_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
