@@ -1,21 +1,27 @@
-"""License scan: winnowed template fingerprints, then banded alignment.
+"""License scan: winnowed template fingerprints, then banded alignment, then rare words.
 
+A match is the best local alignment of words that reaches ``coverage`` of a template.
 Templates are cut into overlapping groups of three words; of every four successive
 groups the one of smallest hash goes into an inverted index. A document's groups that
 are in the index give template, place and so a diagonal. Around each cluster of
 diagonals a banded local alignment of words decides how much of the template is
-there, and where. Any stretch of six words shared with a template is met by a group.
+there, and where. That finds what is copied closely.
+
+What is left is looked for by words: of any template words one more than may miss, one
+is in every match, so the rarest serve. Where the words around one of them hold enough
+of the template's, they are aligned without a band. So no match is lost, whatever
+words differ, miss or were put between.
 
 Defined cases: a null or empty text has no match. Repeated documents each get their
 own rows. Overlapping matches of different templates are all reported. Spans are code
 points of the whole text, end exclusive.
 """
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +30,10 @@ from .common import columns, map_rows, prepare
 
 GROUP, WINDOW, BAND = 3, 4, 12
 COVERAGE = 0.75
+#: Templates of up to so many words are looked for by rare words alone.
+SHORT = 12
+#: Words taken last as rare ones; a matter of speed only.
+_COMMON = set("a all an and any as at be by for from in is it not of on or that the this to under version with work you 0 1 2 3 4".split())
 _WORD = re.compile(r"[^\W_]+")
 #: Public notices, as their publishers word them.
 TEMPLATES = {
@@ -76,14 +86,20 @@ def winnow(words: list[str]) -> set[int]:
 
 
 class Index:
-    """Inverted index from group of words to (template, place)."""
+    """Inverted indexes from group of words to (template, place) and from rare word to templates."""
 
-    def __init__(self, templates: dict[str, str] | None = None):
+    def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE):
         self.templates = {name: tokens(text) for name, text in (templates or TEMPLATES).items()}
+        self.need = {name: max(1, math.ceil(coverage * len(words))) for name, words in self.templates.items()}
         self.groups: dict[tuple[str, ...], list[tuple[str, int]]] = defaultdict(list)
+        self.rare: dict[str, list[str]] = defaultdict(list)
+        used = Counter(word for words in self.templates.values() for word in set(words))
         for name, words in self.templates.items():
             for at in winnow(words):
                 self.groups[tuple(words[at : at + GROUP])].append((name, at))
+            rarest = sorted(words, key=lambda w: (w in _COMMON, used[w], -len(w)))
+            for word in set(rarest[: len(words) - self.need[name] + 1]):
+                self.rare[word].append(name)
         self.first = {group[0] for group in self.groups}
 
     def anchors(self, words: list[str]) -> dict[str, list[tuple[int, int]]]:
@@ -95,6 +111,15 @@ class Index:
                 found[name].append((at, place))
         return found
 
+    def places(self, words: list[str]) -> dict[str, list[int]]:
+        """By template: the places of its rare words."""
+        found: dict[str, list[int]] = defaultdict(list)
+        rare = self.rare
+        for at, word in [(i, w) for i, w in enumerate(words) if w in rare]:
+            for name in rare[word]:
+                found[name].append(at)
+        return found
+
 
 def band(length: int) -> int:
     """How far a copy may leave its diagonal: less for short templates, which may follow each other."""
@@ -117,55 +142,117 @@ def clusters(anchors: list[tuple[int, int]], length: int) -> Iterator[tuple[int,
         yield low, high, last
 
 
-def align(text: list[str], template: list[str], low: int, high: int) -> tuple[int, int, int] | None:
+def align(text: list[str], template: list[str], low: int, high: int, need: int = 0) -> tuple[int, int, int] | None:
     """(matched words, first text word, one past the last) of the best local alignment.
 
-    Cells whose diagonal lies between ``low`` and ``high`` only. A match scores 2, a
-    differing, missing or added word costs 1; ties prefer the earliest end.
+    Cells whose diagonal lies between ``low`` and ``high`` only, ends with at least
+    ``need`` matched words only. A match scores 2, a differing, missing or added word
+    costs 1; ties prefer the earliest end.
     """
-    width = high - low + 1
-    score = np.zeros(width + 2, np.int64)
-    matched, start = np.zeros(width + 2, np.int64), np.zeros(width + 2, np.int64)
-    best: tuple[int, int, int, int] = (0, 0, 0, 0)
+    width, size = high - low + 1, len(text)
+    none = (0, 0, 0)
+    row = [none] * (width + 2)  # (score, matched words, first text word) by diagonal
+    best, out = 0, None
     for j, word in enumerate(template):
-        new_score, new_matched = np.zeros(width + 2, np.int64), np.zeros(width + 2, np.int64)
-        new_start = np.zeros(width + 2, np.int64)
-        for k in range(width):
+        new = [none] * (width + 2)
+        for k in range(max(0, -j - low), min(width, size - j - low)):
             i = j + low + k
-            if not 0 <= i < len(text):
-                continue
-            c, hit = k + 1, text[i] == word
-            options = [(score[c] + (2 if hit else -1), matched[c] + hit, start[c] if score[c] > 0 else i)]
-            options.append((score[c + 1] - 1, matched[c + 1], start[c + 1]))  # a template word is missing
-            options.append((new_score[c - 1] - 1, new_matched[c - 1], new_start[c - 1]))  # a text word is extra
-            s, m, f = max(options, key=lambda o: o[0])
+            hit = text[i] == word
+            s, m, f = row[k + 1]
+            f = f if s > 0 else i
+            s, m = (s + 2, m + 1) if hit else (s - 1, m)
+            missing, extra = row[k + 2], new[k]  # a template word is missing, a text word is extra
+            if missing[0] - 1 > s:
+                s, m, f = missing[0] - 1, missing[1], missing[2]
+            if extra[0] - 1 > s:
+                s, m, f = extra[0] - 1, extra[1], extra[2]
             if s <= 0:
                 continue
-            new_score[c], new_matched[c], new_start[c] = s, m, f
-            if s > best[0]:
-                best = (int(s), int(m), int(f), i + 1)
-        score, matched, start = new_score, new_matched, new_start
-    return best[1:] if best[0] else None
+            new[k + 1] = (s, m, f)
+            if s > best and m >= need:
+                best, out = s, (m, f, i + 1)
+        row = new
+    return out
+
+
+def stretches(places: list[int], before: int, behind: int, size: int) -> Iterator[tuple[int, int]]:
+    """The parts of a text so far before or behind one of the rising places."""
+    start = end = None
+    for at in places:
+        if end is None or at - before > end:
+            if end is not None:
+                yield start, end
+            start = max(0, at - before)
+        end = min(size, at + behind + 1)
+    if end is not None:
+        yield start, end
+
+
+def dense(text: list[str | None], template: list[str], need: int, start: int, end: int) -> list[int]:
+    """Ends of the windows of three templates' length that hold ``need`` of its words."""
+    wanted, inside = Counter(template), Counter()
+    size, held, out = 3 * len(template), 0, []
+    for i in range(start, end):
+        if (word := text[i]) in wanted:
+            inside[word] += 1
+            held += inside[word] <= wanted[word]
+        if i - size >= start and (word := text[i - size]) in wanted:
+            held -= inside[word] <= wanted[word]
+            inside[word] -= 1
+        if held >= need:
+            out.append(i)
+    return out
 
 
-def matches(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tuple[str, int, int, int, int]]:
+def aligned(text: list[str | None], template: list[str], need: int, places: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(matched words, first text word, one past the last) of alignments around the places.
+
+    A match scores 2 and everything else costs 1, so no alignment is as long as three
+    templates. Of overlapping alignments the best stays.
+    """
+    reach = 3 * len(template)
+    for near in stretches(places, reach, reach, len(text)):
+        parts = [(max(near[0], start), end) for start, end in stretches(dense(text, template, need, *near), reach, 0, near[1])]
+        while parts:
+            start, end = parts.pop()
+            got = align(text[start:end], template, -len(template), end - start, need)
+            if got:
+                yield got[0], start + got[1], start + got[2]
+                parts += [(start, start + got[1]), (start + got[2], end)]
+
+
+def matches(text: str | None, index: Index) -> list[tuple[str, int, int, int, int]]:
     """(template, start, end, matched words, template words) in one text, by start."""
     if not text:
         return []
     low_text = text.lower()
     words = _WORD.findall(low_text)
-    anchors = index.anchors(words)
-    if not anchors:
+    found: dict[str, set[tuple[int, int, int]]] = defaultdict(set)
+    for name, anchors in index.anchors(words).items():
+        template = index.templates[name]
+        if len(template) <= SHORT:
+            continue
+        for low, high, _ in clusters(anchors, len(template)):
+            got = align(words, template, low - band(len(template)), high + band(len(template)), index.need[name])
+            if got:
+                found[name].add(got)
+    for name, places in index.places(words).items():
+        left: list[str | None] = words
+        if found[name]:
+            left = list(words)
+            for _, first, last in found[name]:
+                left[first:last] = [None] * (last - first)
+            places = [at for at in places if left[at] is not None]
+        found[name].update(aligned(left, index.templates[name], index.need[name], places))
+    if not any(found.values()):
         return []
     source = low_text if len(low_text) == len(text) else text
-    places = [m.span() for m in _WORD.finditer(source)]
-    out = set()
-    for name, found in anchors.items():
-        template = index.templates[name]
-        for low, high, _ in clusters(found, len(template)):
-            got = align(words, template, low - band(len(template)), high + band(len(template)))
-            if got and got[0] >= coverage * len(template):
-                out.add((name, places[got[1]][0], places[got[2] - 1][1], got[0], len(template)))
+    spans = [m.span() for m in _WORD.finditer(source)]
+    out = {
+        (name, spans[first][0], spans[last - 1][1], matched, len(index.templates[name]))
+        for name, of in found.items()
+        for matched, first, last in of
+    }
     return sorted(out, key=lambda m: (m[1], m[0], m[2]))
 
 
@@ -177,9 +264,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     prepare(docs.sparkSession)
 
     def work(rows: Iterator[tuple]) -> Iterator[tuple]:
-        index = Index(templates)
+        index = Index(templates, coverage)
         for doc_id, text in rows:
-            for name, start, end, matched, size in matches(text, index, coverage):
+            for name, start, end, matched, size in matches(text, index):
                 yield doc_id, name, start, end, matched, size
 
     found = map_rows(columns(docs, doc_id="long", text="string"), work, "doc_id long, template string, start int, end int, matched int, words int")

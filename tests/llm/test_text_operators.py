@@ -177,6 +177,60 @@ def test_every_long_shared_run_is_anchored():
             assert name in index.anchors(["x", *template[at : at + need], "y"])
 
 
+def unbanded(text, index):
+    """(template, first word, end, matched words) of every template against every cell."""
+    words = licenses.tokens(text)
+    best = {n: licenses.align(words, t, -len(t), len(words), index.need[n]) for n, t in index.templates.items()}
+    return {(name, got[1], got[2], got[0]) for name, got in best.items() if got}
+
+
+def in_words(text, index):
+    """The matches of a text, places counted in words."""
+    count = lambda end: len(licenses.tokens(text[:end]))
+    return {(name, count(start), count(end), matched) for name, start, end, matched, _ in licenses.matches(text, index)}
+
+
+def test_edited_short_lines_are_found():
+    """All one-word edits of the short lines, and words strewn between, against every cell of every template."""
+    index, rng = licenses.Index(), random.Random(5)
+    short = {name: words for name, words in index.templates.items() if len(words) <= licenses.SHORT}
+    assert {"mit-line", "apache-line", "gpl-line", "cc-by-nc", "all-rights"} <= set(short)
+    texts = ["Released under MIT License", "Released under an MIT License", "All of these rights are reserved", "Licensed under Apache 2.0"]
+    for words in short.values():
+        for at in range(len(words) + 1):
+            texts += [" ".join(["so", *words[:at], *put, *words[at + cut :], "ends"]) for cut in (0, 1) for put in ([], ["other"])]
+        texts.append(" x ".join(words))
+        for _ in range(60):
+            some = [w for w in words if rng.random() < 0.85]
+            texts.append(" ".join(v for w in some for v in (w, *["x"] * rng.choice((0, 0, 0, 1, 2)))))
+    for text in texts:
+        assert unbanded(text, index) == in_words(text, index), text
+    assert {m[0] for m in licenses.matches(texts[0], index)} == {m[0] for m in licenses.matches(texts[1], index)} == {"mit-line"}
+
+
+def test_no_choice_of_differing_words_hides_a_template():
+    index, rng = licenses.Index(), random.Random(6)
+    for name, words in index.templates.items():
+        spare = len(words) - index.need[name]
+        picks = [rng.sample(range(len(words)), spare) for _ in range(40)]
+        picks += [[p for p in range(start, len(words), 4)][:spare] for start in range(4)]
+        for pick in picks:
+            text = ["other" if i in pick else w for i, w in enumerate(words)]
+            text = [v for w in text for v in (w, *["x"] * rng.choice((0, 0, 0, 1)))]
+            text[len(text) // 2 : 0] = ["x"] * rng.choice((0, 20))
+            if licenses.align(text, words, -len(words), len(text), index.need[name]):
+                assert name in {m[0] for m in licenses.matches(" ".join(text), index)}
+
+
+def test_short_lines_beside_each_other():
+    text = "All rights reserved. All rights reserved. Released under MIT License, all rights are reserved."
+    found = licenses.matches(text, licenses.Index())
+    assert [(m[0], text[m[1] : m[2]]) for m in found] == [
+        ("all-rights", "All rights reserved"), ("all-rights", "All rights reserved"),
+        ("mit-line", "Released under MIT License"), ("all-rights", "all rights are reserved"),
+    ]
+
+
 def test_license_rows(frame):
     line = licenses.TEMPLATES["apache-line"]
     rows = frame((1, f"É {line} End."), (2, None), (3, ""), (4, "Licensed under the moon"), (1, f"{line}\n{line}"))
