@@ -69,7 +69,8 @@ TEMPLATES = {
 
 
 def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The words, each lowered by itself: lowering can lengthen a text and part its words."""
+    return [word.lower() for word in _WORD.findall(text)]
 
 
 def _hash(group: tuple[str, ...]) -> int:
@@ -225,8 +226,7 @@ def matches(text: str | None, index: Index) -> list[tuple[str, int, int, int, in
     """(template, start, end, matched words, template words) in one text, by start."""
     if not text:
         return []
-    low_text = text.lower()
-    words = _WORD.findall(low_text)
+    words = tokens(text)
     found: dict[str, set[tuple[int, int, int]]] = defaultdict(set)
     for name, anchors in index.anchors(words).items():
         template = index.templates[name]
@@ -246,8 +246,7 @@ def matches(text: str | None, index: Index) -> list[tuple[str, int, int, int, in
         found[name].update(aligned(left, index.templates[name], index.need[name], places))
     if not any(found.values()):
         return []
-    source = low_text if len(low_text) == len(text) else text
-    spans = [m.span() for m in _WORD.finditer(source)]
+    spans = [m.span() for m in _WORD.finditer(text)]  # the words of ``tokens``, one for one
     out = {
         (name, spans[first][0], spans[last - 1][1], matched, len(index.templates[name]))
         for name, of in found.items()

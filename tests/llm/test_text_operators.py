@@ -231,6 +231,15 @@ def test_short_lines_beside_each_other():
     ]
 
 
+def test_places_hold_where_lowering_lengthens_the_text():
+    index, line = licenses.Index(), "All rights reserved"
+    for before in ("", "İstanbul. ", "İİİ İ İzmir, ", "ΑΣ İ ẞ "):
+        for behind in ("", ".", " İstanbul"):
+            text = before + line + behind
+            assert licenses.matches(text, index) == [("all-rights", len(before), len(before) + len(line), 3, 3)]
+            assert len(licenses.tokens(text)) == len(list(licenses._WORD.finditer(text)))
+
+
 def test_license_rows(frame):
     line = licenses.TEMPLATES["apache-line"]
     rows = frame((1, f"É {line} End."), (2, None), (3, ""), (4, "Licensed under the moon"), (1, f"{line}\n{line}"))
