@@ -3,7 +3,10 @@
 Three base patterns find assignments, access keys and hex strings. Beyond them,
 base64 and hex runs are decoded and reported only if their structure holds: a DER
 private key whose nested lengths all add up, an OpenSSH key whose length-prefixed
-fields fill it exactly, or a signed token whose header and claims are JSON.
+fields fill it exactly, or a signed token whose header and claims are JSON. Line ends
+may be written out (backslash and n, r or t), as in JSON and env files, and hex may
+follow 0x; a span of the latter covers the digits. A token has exactly three parts: a
+stop before or behind it is a sentence's unless another part is on its other side.
 
 Defined cases: a null text is empty; an empty text has no spans; repeated documents
 each get their own row. Spans are code points, end exclusive, over the whole text.
@@ -30,10 +33,18 @@ _ASSIGN_HINTS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
 _LONG = 24
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-_BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEX_KEY = re.compile(rb"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Za-z])")
-_TOKEN = re.compile(rb"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
+#: A written-out line end or tab, whose letter does not belong to the run behind it.
+_ESCAPED = rb"(?:(?<=\\)[nrt])?"
+_PEM = re.compile(
+    rb"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]++|\\++[nrt/])++)-----END \1PRIVATE KEY-----"
+)
+_PEM_BLANK = re.compile(rb"\s+|\\+[nrt]?")
+_BASE64 = re.compile(_ESCAPED + rb"([A-Za-z0-9+/_-]{40,}={0,2})")
+_HEX_KEY = re.compile(rb"(?<![0-9A-Za-z])" + _ESCAPED + rb"(?:0[xX])?((?:[0-9A-Fa-f]{2}){32,})(?![0-9A-Za-z])")
+_TOKEN = re.compile(
+    rb"(?<![A-Za-z0-9_-])(?<![A-Za-z0-9_-]\.)" + _ESCAPED
+    + rb"([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?!\.?[A-Za-z0-9_-])"
+)
 
 _INTEGER, _BITS, _OCTETS, _OID, _SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
 
@@ -144,7 +155,7 @@ def _base(raw: bytes, widest: int) -> Iterator[tuple[str, int, int, str]]:
 def _confirmed(raw: bytes, widest: int) -> Iterator[tuple[str, int, int, str]]:
     if b"PRIVATE KEY-----" in raw:
         for m in _PEM.finditer(raw):
-            data = decode64(b"".join(m[2].split()))
+            data = decode64(_PEM_BLANK.sub(b"", m[2]))
             what = data and (der_private_key(data) or ssh_private_key(data))
             if what:
                 yield "pem_key", m.start(), m.end(), what
@@ -153,18 +164,18 @@ def _confirmed(raw: bytes, widest: int) -> Iterator[tuple[str, int, int, str]]:
     if b"." in raw:
         for m in _TOKEN.finditer(raw):
             if what := signed_token(m[1], m[2], m[3]):
-                yield "signed_token", m.start(), m.end(), what
+                yield "signed_token", m.start(1), m.end(), what
     if widest < 40:
         return
     for pattern, decode in ((_HEX_KEY, binascii.unhexlify), (_BASE64, decode64)):
         for m in pattern.finditer(raw):
-            data = decode(m[0])
+            data = decode(m[1])
             if not data:
                 continue
             if what := der_private_key(data):
-                yield "der_key", m.start(), m.end(), what
+                yield "der_key", m.start(1), m.end(), what
             elif what := ssh_private_key(data):
-                yield "ssh_key", m.start(), m.end(), what
+                yield "ssh_key", m.start(1), m.end(), what
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, str]]:

@@ -143,6 +143,30 @@ def test_structure_decides():
     assert not secrets.spans("plain." * 20)
 
 
+def test_structure_decides_in_sentences_and_escapes():
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    good = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': '1'})}.c2lnbmF0dXJl"
+    bare = f"{part({'alg': 'none'})}.{part({'sub': '1'})}."
+    of = lambda kind, text: [text[s[1] : s[2]] for s in secrets.spans(text) if s[0] == kind]
+    for token in (good, bare):
+        for before in ("", "é ", "see: ...", '"', "a\\n"):
+            for behind in ("", " ", ". Next", "...", ".", ".\n", '."', "\\n"):
+                assert of("signed_token", before + token + behind) == [token], (before, behind)
+    assert not of("signed_token", f"{good}.c2ln") and not of("signed_token", f"a.{good}")
+
+    b64, digits = base64.b64encode(RSA).decode(), RSA.hex()
+    for end in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n"):
+        lines = end.join(b64[i : i + 64] for i in range(0, len(b64), 64))
+        pem = f"-----BEGIN RSA PRIVATE KEY-----{end}{lines}{end}-----END RSA PRIVATE KEY-----"
+        for text in (pem, pem.replace("/", "\\/")):
+            assert ("pem_key", 7, 7 + len(text), "rsa") in secrets.spans(f'{{"k": "{text}"}}')
+        assert not of("pem_key", pem.replace(b64[:8], b64[:7], 1))
+    for prefix in ("0x", "0X", "x = 0x", "\\n", "\\n0x", ""):
+        assert of("der_key", prefix + digits + ";") == [digits] == of("der_key", (prefix + digits))
+        assert of("der_key", prefix.replace("0x", "") + "\\n" + b64) == [b64]
+    assert not of("der_key", "a0x" + digits) and not of("der_key", "0x" + digits + "f")
+
+
 def test_secret_rows(frame):
     rows = frame((1, None), (2, ""), (3, "ü token = abcdef1"), (3, "ü token = abcdef1"), (4, "AKIA" + "B" * 16 + " " + "ab" * 12))
     got = sorted(map(tuple, secrets.digests(secrets.scan(rows)).collect()))
