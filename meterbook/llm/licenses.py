@@ -13,8 +13,9 @@ of the template's, they are aligned without a band. So no match is lost, whateve
 words differ, miss or were put between.
 
 Defined cases: a null or empty text has no match. Repeated documents each get their
-own rows. Overlapping matches of different templates are all reported. Spans are code
-points of the whole text, end exclusive.
+own rows. Overlapping matches of different templates are all reported, but of the
+``VARIANTS`` of one notice those with fewest differing words. Spans are code points of
+the whole text, end exclusive.
 """
 
 import math
@@ -65,7 +66,53 @@ TEMPLATES = {
         the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "cc-by-nc": "Licensed under CC BY-NC 4.0.",
     "all-rights": "All rights reserved.",
+    "lgpl-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License,
+        or (at your option) any later version. This library is distributed in the hope that it will be useful, but
+        WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+        PURPOSE.""",
+    "lgpl-3": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version. This program is distributed in the hope that it will be useful, but
+        WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+        PURPOSE.""",
+    "agpl": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version. This program is distributed in the hope that it will be useful, but
+        WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+        PURPOSE.""",
+    "lgpl-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "bsd-binary": """Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+        and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "bsd-3-clause": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse
+        or promote products derived from this software without specific prior written permission.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
+        modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
+        binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    **{f"cc-{c.lower()}": f"Licensed under CC {c} 4.0." for c in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    **{
+        f"cc-{c.lower()}-name": f"This work is licensed under a Creative Commons {name} 4.0 International License."
+        for c, name in {
+            "BY": "Attribution",
+            "BY-SA": "Attribution-ShareAlike",
+            "BY-ND": "Attribution-NoDerivatives",
+            "BY-NC": "Attribution-NonCommercial",
+            "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+            "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+        }.items()
+    },
 }
+_CC = ("cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd")
+#: Templates that differ in the name of the license alone: of those that overlap, the closest holds.
+VARIANTS = (
+    ("gpl", "lgpl-2.1", "lgpl-3", "agpl"),
+    ("gpl-line", "lgpl-line", "agpl-line"),
+    _CC,
+    tuple(f"{name}-name" for name in _CC),
+)
+_VARIANT = {name: group for group, names in enumerate(VARIANTS) for name in names}
 
 
 def tokens(text: str) -> list[str]:
@@ -78,12 +125,15 @@ def _hash(group: tuple[str, ...]) -> int:
 
 
 def winnow(words: list[str]) -> set[int]:
-    """Places of the groups kept: the last smallest of every window, and one at least."""
+    """Places of the groups kept: the last smallest of every window, and one at least.
+
+    A group found more than once in the words names no place and is taken last.
+    """
     hashes = [_hash(tuple(words[i : i + GROUP])) for i in range(max(0, len(words) - GROUP + 1))]
     if len(hashes) <= WINDOW:
         return {hashes.index(min(hashes))} if hashes else set()
-    windows = range(len(hashes) - WINDOW + 1)
-    return {min(range(i, i + WINDOW), key=lambda j: (hashes[j], -j)) for i in windows}
+    windows, often = range(len(hashes) - WINDOW + 1), Counter(hashes)
+    return {min(range(i, i + WINDOW), key=lambda j: (often[hashes[j]] > 1, hashes[j], -j)) for i in windows}
 
 
 class Index:
@@ -222,6 +272,29 @@ def aligned(text: list[str | None], template: list[str], need: int, places: list
                 parts += [(start, start + got[1]), (start + got[2], end)]
 
 
+def closest(found: dict[str, set[tuple[int, int, int]]], index: Index) -> list[tuple[str, int, int, int]]:
+    """(template, matched words, first word, end), without those a closer variant overlaps."""
+    every = [(name, *got) for name, of in found.items() for got in of]
+    if len(every) < 2:
+        return every
+
+    def differing(match: tuple[str, int, int, int]) -> int:
+        name, matched, first, last = match
+        return len(index.templates[name]) + last - first - 2 * matched
+
+    rivals: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    kept = []
+    for match in sorted(every, key=differing):
+        name, _, first, last = match
+        group, cost = _VARIANT.get(name), differing(match)
+        if group is not None:
+            if any(c < cost and start < last and first < end for c, start, end in rivals[group]):
+                continue
+            rivals[group].append((cost, first, last))
+        kept.append(match)
+    return kept
+
+
 def matches(text: str | None, index: Index) -> list[tuple[str, int, int, int, int]]:
     """(template, start, end, matched words, template words) in one text, by start."""
     if not text:
@@ -249,8 +322,7 @@ def matches(text: str | None, index: Index) -> list[tuple[str, int, int, int, in
     spans = [m.span() for m in _WORD.finditer(text)]  # the words of ``tokens``, one for one
     out = {
         (name, spans[first][0], spans[last - 1][1], matched, len(index.templates[name]))
-        for name, of in found.items()
-        for matched, first, last in of
+        for name, matched, first, last in closest(found, index)
     }
     return sorted(out, key=lambda m: (m[1], m[0], m[2]))
 

@@ -205,7 +205,8 @@ def unbanded(text, index):
     """(template, first word, end, matched words) of every template against every cell."""
     words = licenses.tokens(text)
     best = {n: licenses.align(words, t, -len(t), len(words), index.need[n]) for n, t in index.templates.items()}
-    return {(name, got[1], got[2], got[0]) for name, got in best.items() if got}
+    kept = licenses.closest({name: {got} for name, got in best.items() if got}, index)
+    return {(name, first, last, matched) for name, matched, first, last in kept}
 
 
 def in_words(text, index):
@@ -233,8 +234,9 @@ def test_edited_short_lines_are_found():
 
 
 def test_no_choice_of_differing_words_hides_a_template():
-    index, rng = licenses.Index(), random.Random(6)
-    for name, words in index.templates.items():
+    rng = random.Random(6)
+    for name, words in licenses.Index().templates.items():
+        index = licenses.Index({name: licenses.TEMPLATES[name]})
         spare = len(words) - index.need[name]
         picks = [rng.sample(range(len(words)), spare) for _ in range(40)]
         picks += [[p for p in range(start, len(words), 4)][:spare] for start in range(4)]
@@ -264,6 +266,19 @@ def test_places_hold_where_lowering_lengthens_the_text():
             assert len(licenses.tokens(text)) == len(list(licenses._WORD.finditer(text)))
 
 
+def test_variants_have_their_own_names():
+    index, names = licenses.Index(), lambda text: [m[0] for m in licenses.matches(text, licenses.Index())]
+    assert {name for group in licenses.VARIANTS for name in group} <= set(index.templates)
+    for name in licenses._VARIANT:
+        assert names(f"x {licenses.TEMPLATES[name]} y") == [name]
+    assert names("Licensed under CC BY-SA 3.0.") == ["cc-by-sa"]
+    assert names(licenses.TEMPLATES["gpl"].replace("version 3", "version 2")) == ["gpl"]
+    assert names("This work is licensed under a Creative Commons Attribution 3.0 Unported License.") == ["cc-by-name"]
+    assert names(licenses.TEMPLATES["agpl"] + " " + licenses.TEMPLATES["gpl"]) == ["agpl", "gpl"]
+    for name in ("unlicense", "cc0", "bsd-binary", "bsd-3-clause"):
+        assert name in names(licenses.TEMPLATES[name])
+
+
 def test_license_rows(frame):
     line = licenses.TEMPLATES["apache-line"]
     rows = frame((1, f"É {line} End."), (2, None), (3, ""), (4, "Licensed under the moon"), (1, f"{line}\n{line}"))
