@@ -24,23 +24,30 @@ from .common import free_name, prepare, staged, unstage
 ROUNDS = 60
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mme", "Mademoiselle", "Г-жа", "Κυρία")
 _MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Г-н", "Κύριος")
-_TITLES = "|".join(sorted((*_FEMALE, *_MALE), key=len, reverse=True))
-_NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+_NEUTRAL = ("Dr", "Prof", "Professor", "Doctor", "Mx", "Д-р", "Проф", "Δρ", "Καθ")
+_TITLES = "|".join(sorted((*_FEMALE, *_MALE, *_NEUTRAL), key=len, reverse=True))
+#: One title or several, as in Frau Dr. or Prof. Dr.
+_TITLED = rf"(?:{_TITLES})\.?(?: (?:{_TITLES})(?![\p{{L}}\p{{N}}'-])\.?)*+"
+_NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLED} \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+_HEXTETS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kind and pattern, in the order in which they are tried.
 KINDS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,20})"),
     ("ip", rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"),
+    ("ipv6", rf"(?<![0-9A-Za-z:.])(?:{_HEXTETS}{{7}}|(?=[0-9A-Fa-f]{{3,4}}:)(?=[A-Fa-f:]*\d){_HEXTETS}{{0,6}}::(?:{_HEXTETS}{{0,5}})?)(?![0-9A-Za-z:])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"),
     ("phone_local", r"(?<![\d+])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"),
     ("national", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
+    ("phone_national", r"(?<![\d+/.,-])(?<!\d )\(?0[1-9]\d{0,3}\)?[ /-](?:\d{5,8}|\d{2,4}(?: \d{2,4}){2,3}|\d{3,4} \d{3,5})(?!\d|[ ./,-]\d)"),
+    ("phone_bare", r"(?<![\p{L}\d_+/.,:=#-])(?:0[1-9]|[2-9]\d)\d{8}(?![\p{L}\d_]|[./,:-]\d)"),
     ("name", _NAME),
 )
 PATTERN = "|".join(p for _, p in KINDS)
 #: What any entity has: a digit group, an address sign or a title.
-HINT = rf"\d[\d() .-]{{5}}|@|[A-Z]{{2}}\d\d|(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"::|[0-9A-Fa-f]:[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f]|\d[\d() .-]{{5}}|@|[A-Z]{{2}}\d\d|(?:{_TITLES})\.? \p{{Lu}}"
 #: Given names by script and gender; family names are built of the script's syllables.
 _GIVEN = {
     ("latin", "female"): "Alma Berta Clara Dora Emilia Flora Greta Helena Irma Julia Karla Lena Marta Nina Olga Petra".split(),
@@ -104,6 +111,25 @@ def _ip(seed: Column) -> Column:
     return F.concat_ws(".", *octets)
 
 
+def _ipv6(entity: Column, seed: Column) -> Column:
+    """Hex digits drawn anew in kind and case; the groups stay."""
+
+    def digit(c: Column, i: Column) -> Column:
+        draw = F.pmod(F.xxhash64(seed, i), F.lit(2_400_000_000))
+        small = F.substring(F.lit("abcdef"), (draw % 6 + 1).cast("int"), F.lit(1))
+        return F.when(c.rlike("^[0-9]$"), (draw % 10).cast("string")).when(c.rlike("^[a-f]$"), small).when(
+            c.rlike("^[A-F]$"), F.upper(small)
+        ).otherwise(c)
+
+    return F.array_join(F.transform(F.split(entity, "(?<=.)(?=.)"), digit), "")
+
+
+def _national(entity: Column, seed: Column) -> Column:
+    """The leading zero stays."""
+    lead = F.regexp_extract(entity, r"^\(?0", 0)
+    return F.concat(lead, _redrawn(F.substring(entity, F.length(lead) + 1, F.length(entity)), seed))
+
+
 def _phone(entity: Column, seed: Column) -> Column:
     """The country code stays."""
     code = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
@@ -118,17 +144,19 @@ def _email(entity: Column, seed: Column) -> Column:
 
 def _name(entity: Column, key: str, attempt: int) -> Column:
     """Given and family name each follow from the name they stand for."""
-    title = F.regexp_extract(entity, rf"^(?:{_TITLES})\.?", 0)
+    title = F.regexp_extract(entity, rf"^{_TITLED}", 0)
     words = F.split(F.substring(entity, F.length(title) + 2, F.length(entity)), " ")
     given, family = F.when(F.size(words) > 1, words[0]), F.element_at(words, -1)
-    female = F.rtrim(title, F.lit(".")).isin(*_FEMALE)
+    form = F.regexp_extract(title, r"^[^ .]+", 0)
     out: Column = F.lit(None)
     for script in ("latin", "greek", "cyrillic"):
         seed = lambda part, what: F.xxhash64(F.sha2(F.concat(F.lit(f"{key}\0{what}\0{attempt}\0"), part), 256))
         draw = lambda i, s=script: _pick(_SYLLABLES[s], F.xxhash64(seed(family, "family"), F.lit(i)))
         last = F.initcap(F.concat(*(draw(i) for i in range(3 + attempt // 4))))
         first = [_pick(_GIVEN[script, g], seed(given, g)) for g in ("female", "male")]
-        given_new = F.when(F.size(words) > 1, F.when(female, first[0]).otherwise(first[1]))
+        either = _pick(_GIVEN[script, "female"] + _GIVEN[script, "male"], seed(given, "either"))
+        drawn_given = F.when(form.isin(*_FEMALE), first[0]).when(form.isin(*_MALE), first[1]).otherwise(either)
+        given_new = F.when(F.size(words) > 1, drawn_given)
         built = F.concat_ws(" ", title, given_new, last)
         inside = F.lit(True) if script == "latin" else family.rlike(rf"\p{{Is{script.capitalize()}}}")
         out = F.when(inside, built).otherwise(out)
@@ -141,6 +169,7 @@ def drawn(kind: Column, entity: Column, key: str, attempt: int) -> Column:
     return (
         F.when(kind == "ip", _ip(seed)).when(kind == "card", _card(entity, seed))
         .when(kind == "email", _email(entity, seed)).when(kind == "phone", _phone(entity, seed))
+        .when(kind == "ipv6", _ipv6(entity, seed)).when(kind.isin("phone_national", "phone_bare"), _national(entity, seed))
         .when(kind == "name", _name(entity, key, attempt)).otherwise(_redrawn(entity, seed))
     )
 

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import ipaddress
 import random
 
 import pytest
@@ -148,6 +149,33 @@ def test_surrogates(frame):
     assert surrogates.replace_personal(docs.limit(0)).count() == 0
 
 
+NATIONAL = {
+    "a 030 1234567 b": "030 1234567", "a (030) 1234567.": "(030) 1234567", "06 12 34 56 78,": "06 12 34 56 78", "0171/1234567": "0171/1234567",
+    "call 5551234567 now": "5551234567", "at 2001:db8::8a2e:370:7334.": "2001:db8::8a2e:370:7334", "fe80::1": "fe80::1",
+    "2001:0DB8:0:0:0:8a2e:370:7334 x": "2001:0DB8:0:0:0:8a2e:370:7334", "so Dr. Anna Weiss said": "Dr. Anna Weiss",
+    "Prof. Dr. Müller": "Prof. Dr. Müller", "Frau Dr. Schmidt": "Frau Dr. Schmidt",
+}
+
+
+def test_national_phones_titles_and_ipv6(frame):
+    none = ["on 01.02.2024 at 12:30:45", "01/02/2024", "01 02 2024", "std::vector a::b", "1733000000", "00:1a:2b:3c:4d:5e", "0.0301234567", "x = 3::"]
+    docs = frame(*enumerate([*NATIONAL, *none]))
+    found = {r.text: r.e for r in docs.select("text", surrogates.entities_of(F.col("text")).alias("e")).collect()}
+    assert {t: found[t] for t in NATIONAL} == {t: [e] for t, e in NATIONAL.items()}
+    assert not any(found[t] for t in none)
+    out = {r.doc_id: r.text for r in surrogates.replace_personal(docs).collect()}
+    for i, (text, entity) in enumerate(NATIONAL.items()):
+        before, behind = text.split(entity)
+        new = out[i].removeprefix(before).removesuffix(behind)
+        assert new != entity and out[i] == before + new + behind
+        if ":" in entity:
+            assert ipaddress.ip_address(new).version == 6
+        elif entity[0] in "(0":
+            assert [c if not c.isdigit() else "0" for c in new] == [c if not c.isdigit() else "0" for c in entity]
+    assert out[8].startswith("so Dr. ") and out[9].startswith("Prof. Dr. ") and out[10].startswith("Frau Dr. ")
+    assert [out[len(NATIONAL) + i] for i in range(len(none))] == none
+
+
 def test_surrogates_stay_distinct_when_draws_collide(spark):
     """More entities of a short format than chance keeps apart."""
     rows = [("name", f"Mr Aa{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") for i in range(4000)]
