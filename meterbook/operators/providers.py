@@ -51,12 +51,12 @@ class _Files:
 
     name = ""
 
-    def __init__(self, spark: SparkSession, paths: str | list[str]):
-        self.spark, self.paths = spark, paths
+    def __init__(self, spark: SparkSession, paths: str | list[str], tail_bytes: int | None = ts.TAIL_BYTES):
+        self.spark, self.paths, self.tail_bytes = spark, paths, tail_bytes
 
     def _file_fingerprints(self, version: Column | str) -> DataFrame:
         """Sessions of one file each: the file's own size and tail hash."""
-        parts = ts.file_parts(self.spark, self.paths)
+        parts = ts.file_parts(self.spark, self.paths, self.tail_bytes)
         stamp = version if isinstance(version, Column) else F.lit(version)
         mine = self.found().select("session_id", F.col("transcript_path").alias("path"))
         return parts.join(mine, "path").select(
@@ -81,7 +81,7 @@ class Claude(_Files):
         return Derived(model_breakdown(priced, ["ord"]), cl.claude_metadata(records), turns)
 
     def fingerprints(self, version: Column | str) -> DataFrame:
-        parts = ts.claude_parts(self.spark, self.paths)
+        parts = ts.claude_parts(self.spark, self.paths, self.tail_bytes)
         return fingerprint_sessions(parts, "claude-usage", version, ["session_id"])
 
 

@@ -155,11 +155,12 @@ def scan_copilot(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 TAIL_BYTES = 65_536
 
 
-def file_parts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``size:hash`` of each file's last 64 KB, the part a fingerprint covers."""
-    tail = F.substring("content", -TAIL_BYTES, TAIL_BYTES)
-    # A start before the file begins would shorten the tail.
-    tail = F.when(F.col("length") <= TAIL_BYTES, F.col("content")).otherwise(tail)
+def file_parts(spark: SparkSession, paths: str | list[str], tail_bytes: int | None = TAIL_BYTES) -> DataFrame:
+    """``size:hash`` of each file's last bytes, the part a fingerprint covers; None is the whole file."""
+    tail = F.col("content")
+    if tail_bytes is not None:
+        # A start before the file begins would shorten the tail.
+        tail = F.when(F.col("length") <= tail_bytes, tail).otherwise(F.substring("content", -tail_bytes, tail_bytes))
     return (
         _reader(spark)
         .format("binaryFile")
@@ -171,11 +172,11 @@ def file_parts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def claude_parts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def claude_parts(spark: SparkSession, paths: str | list[str], tail_bytes: int | None = TAIL_BYTES) -> DataFrame:
     """File parts of each claude session tree: newest main file and subagents."""
     main = F.regexp_extract("path", CLAUDE_MAIN, 2)
     sub = F.regexp_extract("path", CLAUDE_SUBAGENT, 2)
-    parts = file_parts(spark, paths).select(
+    parts = file_parts(spark, paths, tail_bytes).select(
         F.when(main != "", main).otherwise(sub).alias("session_id"),
         (main != "").alias("is_main"),
         "path",
