@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
-from . import bpe, decontaminate, fingerprint, licenses, neardup, quality, secrets, surrogates, warc
+from . import bpe, decontaminate, fingerprint, licenses, neardup, quality, secrets, surrogates, warc, whitening
 from .common import columns, prepare, staged, table
 from .rollup import RollupStore
 
@@ -174,11 +174,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    error = None if model is None else whitening.identity_error(vectors, model)
+    return whitening.whiten(vectors, model).withColumn("identity_error", F.lit(error).cast("double"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_near_duplicates, op3_secrets, op4_licenses, op5_token_rollup,
         op6_surrogates, op7_decontamination, op8_fingerprints, op9_quality, op10_bpe,
+        op11_whitening,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op2_near_duplicates": _OP2, "op5_token_rollup": _OP5, "op7_decontamination": _OP7}
