@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
-from . import bpe, decontaminate, fingerprint, licenses, neardup, quality, secrets, surrogates, warc, whitening
+from . import bpe, decontaminate, fingerprint, language, licenses, neardup, quality, secrets, surrogates, warc, whitening
 from .common import columns, prepare, staged, table
 from .rollup import RollupStore
 
@@ -181,12 +181,19 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, model).withColumn("identity_error", F.lit(error).cast("double"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    held_out = language.held_out(F.col("doc_id")).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "entropy", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_near_duplicates, op3_secrets, op4_licenses, op5_token_rollup,
         op6_surrogates, op7_decontamination, op8_fingerprints, op9_quality, op10_bpe,
-        op11_whitening,
+        op11_whitening, op13_language_id,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op2_near_duplicates": _OP2, "op5_token_rollup": _OP5, "op7_decontamination": _OP7}
