@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
-from . import bpe, decontaminate, fingerprint, language, licenses, neardup, quality, secrets, surrogates, warc, whitening
+from . import bpe, decontaminate, fingerprint, language, licenses, neardup, phrases, quality, secrets, surrogates, warc, whitening
 from .common import columns, prepare, staged, table
 from .rollup import RollupStore
 
@@ -181,6 +181,33 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, model).withColumn("identity_error", F.lit(error).cast("double"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+_OP12 = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT lang, k, unnest([ws[i:i + k - 1] FOR i IN range(1, len(ws) - k + 2)]) AS ws
+      FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, ws, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, ws, f AS a FROM f WHERE k >= 2 AND f >= 10),
+s AS (SELECT c.*, x.f AS l, y.f AS r, x.k AS cut,
+             (1000000::HUGEINT * a::HUGEINT * a::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.k < c.k AND x.ws = c.ws[1:x.k]
+             JOIN f y ON y.lang = c.lang AND y.k = c.k - x.k AND y.ws = c.ws[x.k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1),
+o AS (SELECT lang, ws[1:2] AS ws, a FROM c WHERE k = 3 UNION ALL SELECT lang, ws[2:3], a FROM c WHERE k = 3),
+m AS (SELECT lang, ws, max(a) AS over FROM o GROUP BY ALL),
+p AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, l, r, score FROM b LEFT JOIN m USING (lang, ws)
+      WHERE over IS NULL OR 100 * over < 50 * b.a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM p)
+SELECT t.lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM t JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit(docs))
@@ -193,7 +220,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_warc, op2_near_duplicates, op3_secrets, op4_licenses, op5_token_rollup,
         op6_surrogates, op7_decontamination, op8_fingerprints, op9_quality, op10_bpe,
-        op11_whitening, op13_language_id,
+        op11_whitening, op12_collocations, op13_language_id,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op2_near_duplicates": _OP2, "op5_token_rollup": _OP5, "op7_decontamination": _OP7}
+ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op2_near_duplicates": _OP2, "op5_token_rollup": _OP5, "op7_decontamination": _OP7, "op12_collocations": _OP12}
