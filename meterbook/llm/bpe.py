@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 
 from .common import annotate, prepare, text_udf, worker_cache
 
-#: Entries a worker keeps of pieces and of token pairs; beyond, it starts afresh.
-PIECE_CACHE, PAIR_CACHE = 600_000, 600_000
+#: Bytes of pieces and number of token pairs (about 120 bytes each) that a worker keeps; beyond, it starts afresh.
+PIECE_BYTES, PAIR_CACHE = 64 << 20, 200_000
+#: A pair's key holds a token in so many bits.
+ID_BITS = 20
 
 
 def byte_letters() -> list[str]:
@@ -57,12 +59,17 @@ def piece_pattern(letters_below: int) -> re.Pattern:
 class _Pieces(dict):
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.bytes = encode, 0
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= PIECE_CACHE:
-            self.clear()
         ids = self.encode(piece)
+        size = 240 + 4 * len(piece) + 8 * len(ids)  # the text, the tuple and their place in the table
+        if self.bytes + size > PIECE_BYTES:
+            self.clear()
+            self.bytes = 0
+            if size > PIECE_BYTES:
+                return ids
+        self.bytes += size
         self[piece] = ids
         return ids
 
@@ -80,6 +87,8 @@ class Bpe:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens with strip or word rules are not supported")
         vocab: dict[str, int] = model["vocab"]
+        if max(vocab.values()) >> ID_BITS:
+            raise ValueError("the vocabulary has too many ids")
         letters = byte_letters()
         self.to_letters = {i: c for i, c in enumerate(letters)}
         value = {c: b for b, c in enumerate(letters)}
@@ -146,7 +155,7 @@ class Bpe:
                 continue
             before = end - size
             if before >= 0:
-                key = last[before] << 20 | token
+                key = last[before] << ID_BITS | token
                 holds = pairs.get(key)
                 if holds is None:
                     holds = pairs[key] = self.compatible(last[before], token)
@@ -189,7 +198,7 @@ class Bpe:
             return self.decode([i for i in ids if i in self.text])
 
 
-@worker_cache()
+@worker_cache
 def _bpe(file: Broadcast) -> Bpe:
     return Bpe(file.value)
 

@@ -130,9 +130,25 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[tuple]], Iterable[tuple]],
     return df.mapInArrow(run, types)
 
 
-def worker_cache(maxsize: int = 4):
-    """Keep what a worker builds from a broadcast between its tasks."""
-    return functools.lru_cache(maxsize=maxsize)
+_KEPT: dict[tuple, object] = {}
+
+
+def worker_cache(build: Callable):
+    """Keep what a worker builds from a broadcast between its tasks, until it builds anything else.
+
+    Workers are reused by later stages and by other operators; what they no longer
+    need must not take the memory of what they do.
+    """
+
+    @functools.wraps(build)
+    def kept(*args):
+        key = (build.__module__, build.__qualname__, args)
+        if key not in _KEPT:
+            _KEPT.clear()
+            _KEPT[key] = build(*args)
+        return _KEPT[key]
+
+    return kept
 
 
 ASCII_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import columns, decide, free_name, prepare, staged, text_udf, worker_cache
 
 WINDOW = 10
-#: Most bytes of benchmark text in one broadcast; a larger benchmark goes in several.
-BLOCK_BYTES = 32 << 20
+#: Most bytes of benchmark text in one broadcast, about 150 MB as a worker's tables; a larger
+#: benchmark goes in several, one after the other.
+BLOCK_BYTES = 1 << 20
 _FOUND = "n_words long, hit_words array<int>, items array<long>"
 #: Every byte that is no word character becomes a blank.
 _BLANKS = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
@@ -96,7 +97,7 @@ class Searcher:
         return len(found), sorted(hit), sorted(items)
 
 
-@worker_cache()
+@worker_cache
 def _searcher(rows: Broadcast, width: int) -> Searcher:
     return Searcher(rows.value, width)
 
@@ -105,30 +106,35 @@ class Benchmark:
     """The test items, in blocks small enough to send to every worker."""
 
     def __init__(self, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES):
-        spark, self.width = prepare(items.sparkSession), width
-        rows = columns(items, item_id="long", text="string").filter("text IS NOT NULL").distinct()
-        size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-        n = max(1, math.ceil(size / block_bytes))
-        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-        self.blocks = [
-            spark.sparkContext.broadcast([tuple(r) for r in rows.filter(part == b).collect()]) for b in range(n)
-        ]
-
-    def udfs(self) -> list:
-        return [text_udf(_FOUND, lambda b=b, w=self.width: _searcher(b, w)) for b in self.blocks]
+        self.spark, self.width = prepare(items.sparkSession), width
+        self.rows = columns(items, item_id="long", text="string").filter("text IS NOT NULL").distinct()
+        size = self.rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+        self.blocks = max(1, math.ceil(size / block_bytes))
+        if self.blocks > 1:
+            self.rows = staged(self.rows, "benchmark")
+
+    def udf(self, block: int):
+        """Search for the items of one block, which alone is read and sent."""
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.blocks))
+        sent = self.spark.sparkContext.broadcast([tuple(r) for r in self.rows.filter(part == block).collect()])
+        width = self.width
+        return text_udf(_FOUND, lambda: _searcher(sent, width)), sent
 
     def mark(self, docs: DataFrame, name: str) -> DataFrame:
         """``docs`` with a struct of n_words, hit_words (positions) and items.
 
-        With several blocks, the table is staged between them, so that a worker
-        holds the tables of one block at a time.
+        With several blocks, the table is staged after each, so that driver and
+        workers hold one block at a time.
         """
-        first, *rest = self.udfs()
         text = F.col("`text`").cast("string")
+        first, sent = self.udf(0)
         docs = docs.withColumn(name, first(text))
-        for udf in rest:
+        for block in range(1, self.blocks):
             more = free_name(docs, "more")
-            docs = staged(docs, "marks").withColumn(more, udf(text))
+            docs = staged(docs, "marks")
+            sent.unpersist()
+            udf, sent = self.udf(block)
+            docs = docs.withColumn(more, udf(text))
             a, b = F.col(name), F.col(more)
             both = [F.array_sort(F.array_union(a[k], b[k])).alias(k) for k in ("hit_words", "items")]
             docs = docs.withColumn(name, F.struct(a["n_words"].alias("n_words"), *both)).drop(more)
@@ -145,8 +151,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
     """The documents, all columns, in which no window of a test item occurs."""
     tests = Benchmark(benchmark, width)
     clean = lambda found: F.size(found["hit_words"]) == 0
-    if len(tests.blocks) == 1:
-        return decide(docs, tests.udfs()[0], clean)
+    if tests.blocks == 1:
+        return decide(docs, tests.udf(0)[0], clean)
     name = free_name(docs, "found")
     return tests.mark(docs, name).filter(clean(F.col(name))).drop(name)
 

@@ -45,7 +45,8 @@ LARGE, BLOCK = 64, 256
 #: two-bit sketches differ in 30, give or take 5. Both bounds are six deviations off.
 LEAST_EQUAL, MOST_DIFFERENT = 87, 60
 SKETCH = [f"s{i}" for i in range(LANES // 32)]
-_CACHE = 400_000
+#: Word hashes a worker keeps, of words up to so many bytes.
+_CACHE, _CACHED_WORD = 120_000, 64
 _CHUNK = 2048
 
 _random = np.random.default_rng(20)
@@ -58,9 +59,11 @@ _LANE = (np.arange(ORDERS)[:, None] * DEPTH + np.arange(DEPTH + BEYOND)[None, :]
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= _CACHED_WORD:
+            if len(self) >= _CACHE:
+                self.clear()
+            self[word] = value
         return value
 
 
