@@ -115,7 +115,7 @@ def _(b):
 SPAN = DAYS * DAY_MS
 
 
-def _buckets_sql(n: int) -> str:
+def _buckets_sql(n: int, where: str = "true") -> str:
     width = f"({SPAN} / {n}.0::DOUBLE)"
     return f"""SELECT g.i, {START_MS} + g.i * {width} AS start_ms,
     {START_MS} + (g.i + 1) * {width} AS end_ms, coalesce(CAST(cost AS DOUBLE), 0) AS cost,
@@ -123,7 +123,7 @@ def _buckets_sql(n: int) -> str:
     FROM (SELECT unnest(range({n})) AS i) g LEFT JOIN (
       SELECT least(greatest(floor((t_ms - {START_MS}) / {width}), 0), {n - 1}) AS i,
         sum(cost) AS cost, count(*) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS tokens
-      FROM sessions GROUP BY 1) s ON s.i = g.i"""
+      FROM sessions WHERE {where} GROUP BY 1) s ON s.i = g.i"""
 
 
 @query("interval_buckets", ["sessions"], _buckets_sql(24))
@@ -145,7 +145,7 @@ def _(b):
     "cadence", ["sessions"],
     f"""SELECT *, CAST(sessions AS DOUBLE) / greatest(1, max(sessions) OVER ()) AS activity,
     sessions = greatest(1, max(sessions) OVER ()) AS hot FROM (
-    {_buckets_sql(30).replace(f'WHERE t_ms > {START_MS - 30 * DAY_MS}', f'WHERE {IN_30}')})""",
+    {_buckets_sql(30, IN_30)})""",
 )
 def _(b):
     return spend.cadence(b.sessions, NOW)
