@@ -54,6 +54,22 @@ class _Files:
     def __init__(self, spark: SparkSession, paths: str | list[str], tail_bytes: int | None = ts.TAIL_BYTES):
         self.spark, self.paths, self.tail_bytes = spark, paths, tail_bytes
 
+    def readable_parts(self) -> DataFrame:
+        """(path, part) of the files that can be derived."""
+        return ts.file_parts(self.spark, self.paths, self.tail_bytes)
+
+    @classmethod
+    def prints(cls, index: DataFrame, version: Column | str) -> DataFrame:
+        """(session_id, fingerprint) from an index of (path, session_id, mtime_ms, part), files unopened.
+
+        Of a session's files the newest counts; without a part it is left out.
+        """
+        newest = index.groupBy("session_id").agg(F.max_by("part", F.struct("mtime_ms", "path")).alias("part"))
+        stamp = version if isinstance(version, Column) else F.lit(version)
+        return newest.filter("part IS NOT NULL").select(
+            "session_id", F.concat_ws(":", F.lit(f"{cls.name}-usage"), stamp, "part").alias("fingerprint")
+        )
+
     def _file_fingerprints(self, version: Column | str) -> DataFrame:
         """Sessions of one file each: the file's own size and tail hash."""
         parts = ts.file_parts(self.spark, self.paths, self.tail_bytes)
@@ -84,6 +100,16 @@ class Claude(_Files):
         parts = ts.claude_parts(self.spark, self.paths, self.tail_bytes)
         return fingerprint_sessions(parts, "claude-usage", version, ["session_id"])
 
+    @classmethod
+    def prints(cls, index: DataFrame, version: Column | str) -> DataFrame:
+        """The newest main file and all subagent files of each session that has a main file."""
+        main = F.regexp_extract("path", ts.CLAUDE_MAIN, 2) != ""
+        rows = index.withColumn("is_main", main)
+        newest = rows.filter("is_main").groupBy("session_id").agg(F.max_by("path", F.struct("mtime_ms", "path")).alias("_main"))
+        kept = rows.join(newest, "session_id").filter("NOT is_main OR path = _main")
+        whole = kept.groupBy("session_id").agg(F.every(F.col("part").isNotNull()).alias("whole")).filter("whole")
+        return fingerprint_sessions(kept.join(whole, "session_id", "left_semi"), "claude-usage", version, ["session_id"])
+
 
 class Codex(_Files):
     name = "codex"
@@ -122,6 +148,11 @@ class Codex(_Files):
 class Copilot(_Files):
     name = "copilot"
 
+    def readable_parts(self) -> DataFrame:
+        """Of sessions that have ended."""
+        parts = ts.file_parts(self.spark, self.paths, self.tail_bytes)
+        return parts.join(self.found().select(F.col("transcript_path").alias("path")), "path", "left_semi")
+
     def found(self) -> DataFrame:
         return ts.find_copilot(self.spark, self.paths)
 
@@ -198,15 +229,3 @@ def union_providers(derived: list[Derived]) -> tuple[DataFrame, DataFrame, DataF
         union_shapes([d.metadata for d in derived]),
         union_shapes(turns) if turns else None,
     )
-
-
-def reprice(provider: Provider, ledger: DataFrame, dim: DataFrame, version: Column | str):
-    """Sessions whose source or price version moved, derived again.
-
-    Returns (found sessions to write, Derived); join the second to the first.
-    """
-    from .reconcile import needs_sync
-
-    prints = provider.fingerprints(version).withColumn("provider", F.lit(provider.name))
-    stale = needs_sync(prints.select("provider", "session_id", "fingerprint"), ledger)
-    return stale, provider.derive(dim)

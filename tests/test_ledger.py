@@ -241,7 +241,8 @@ def test_detect_provider_and_gate(spark, tmp_path):
 def test_fingerprint_tail_and_needs_sync(spark, dim, tmp_path):
     import hashlib
 
-    from meterbook.operators.providers import Copilot, reprice
+    from meterbook.operators.providers import Copilot
+    from meterbook.operators.reconcile import needs_sync
 
     big = tmp_path / "session-state" / "s1" / "events.jsonl"
     write_lines(big, [{"type": "session.shutdown", "data": {}, "pad": "x" * 70_000}])
@@ -251,8 +252,10 @@ def test_fingerprint_tail_and_needs_sync(spark, dim, tmp_path):
     host = Copilot(spark, str(tmp_path))
     print1 = one(host.fingerprints("v1")).fingerprint
     ledger = spark.createDataFrame([("s1", "copilot", print1)], "session_id string, provider string, source_fingerprint string")
-    assert reprice(host, ledger, dim, "v1")[0].count() == 0
-    assert one(reprice(host, ledger, dim, "v2")[0]).session_id == "s1"
+    stale = lambda version: needs_sync(host.fingerprints(version).selectExpr("'copilot' AS provider", "*"), ledger)
+    assert stale("v1").count() == 0 and one(stale("v2")).session_id == "s1"
+    index = ts.list_files(spark, str(tmp_path)).join(ts.file_parts(spark, str(tmp_path)), "path").selectExpr("*", "'s1' AS session_id")
+    assert one(Copilot.prints(index, "v1")).fingerprint == print1
 
 
 def test_monitor_overrides_and_branch(spark):
