@@ -47,24 +47,35 @@ def settle_runs(pending: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def capture_health(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
+HEALTH = [
+    "last_attempt_ms", "last_attempt_event", "last_attempt_status",
+    "last_success_ms", "last_failure_ms", "last_failure_message",
+]
+
+
+def capture_health(events: DataFrame, keys: list[str] | None = None, before: DataFrame | None = None) -> DataFrame:
     """Latest attempt, success and failure of hooks per provider.
 
     Events apply in arrival order (``event_id``) and one older than the newest
     attempt so far is ignored. Chunks of ids keep the running maximum of a
-    busy provider off a single task.
+    busy provider off a single task. ``before`` is the health that earlier events
+    left, and then part of the result: the health of a whole is that of its last
+    part, given that of the parts before.
     """
     keys = keys or ["provider"]
     chunked = events.withColumn("_chunk", F.floor(F.col("event_id") / 65_536))
     seen = running_total(
         chunked, keys, "_chunk", ["event_id"], maxima_before={"_newest": F.col("occurred_ms")}
     )
+    if before is not None:
+        had = before.select(*keys, F.col("last_attempt_ms").alias("_had"))
+        seen = seen.join(had, keys, "left").withColumn("_newest", F.greatest("_newest", "_had")).drop("_had")
     taken = seen.filter("_newest IS NULL OR occurred_ms >= _newest")
     good = F.col("status").isin("recorded", "no_usage")
     bad = F.col("status") == "failed"
     at = F.col("event_id")
     said = F.coalesce(F.nullif("message", F.lit("")), F.lit("Unknown hook capture failure"))
-    return (
+    found = (
         taken.groupBy(*keys)
         .agg(
             F.max_by(F.struct("occurred_ms", "hook_event_name", "status"), at).alias("last"),
@@ -82,6 +93,14 @@ def capture_health(events: DataFrame, keys: list[str] | None = None) -> DataFram
             "last_failure_message",
         )
     )
+    if before is None:
+        return found
+    # What a later part did not see stays; its last attempt is known as a whole, even where a field is null.
+    old = before.select(*keys, *(F.col(c).alias(f"_{c}") for c in HEALTH))
+    both = found.withColumn("_new", F.lit(True)).join(old, keys, "full_outer")
+    latest = [F.when(F.col("_new"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in HEALTH[:3]]
+    failure = [F.when(F.col("last_failure_ms").isNotNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in HEALTH[4:]]
+    return both.select(*keys, *latest, F.coalesce("last_success_ms", "_last_success_ms").alias("last_success_ms"), *failure)
 
 
 def capture_monitor(hosts: DataFrame, health: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ from ..operators import opencode as oc
 from ..operators import quality as qc
 from ..operators import reconcile as rc
 from ..operators import responses as rs
+from ..operators import sync
 from ..operators.fold import fold_checkpoints
+from ..operators.providers import Claude
 from ..session import checkpoint_root
 from ..sources import capture as sc
 from ..sources import ledger as sl
@@ -425,3 +427,60 @@ def _(b):
     for low, high in ((0, 1), (2, 2), (2, 2), (3, 9)):
         store.merge(_checks(b).filter(F.col("seq").between(low, high)))
     return store.read().select("session_id", "provider", "total_tokens", "cost", "slug")
+
+
+# Transcript files of one host, synced twice
+
+
+SYNCED = """WITH l AS (SELECT format('{:08x}-0000-4000-8000-{:012x}', l_suppkey, l_suppkey) AS session_id, l_suppkey, l_linenumber,
+      concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(round(l_quantity) AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, CAST(round(l_quantity * 1000) AS BIGINT) AS input,
+      CAST(round(l_extendedprice / 10) AS BIGINT) AS output FROM lineitem),
+    k AS (SELECT DISTINCT * FROM l WHERE l_suppkey % 2 = 0 OR l_linenumber <= 3)
+    SELECT session_id, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output,
+      CAST(sum(input + output) AS BIGINT) AS total_tokens, count(*) AS turns,
+      CASE WHEN session_id LIKE '%0' OR session_id LIKE '%2' OR session_id LIKE '%4' OR session_id LIKE '%6' OR session_id LIKE '%8'
+        OR session_id LIKE '%a' OR session_id LIKE '%c' OR session_id LIKE '%e' THEN 'written' END AS second
+    FROM k GROUP BY session_id"""
+
+
+def _transcripts(b, root: str, first: bool):
+    """A transcript per supplier, one record a line item; the second time only those that grew."""
+    key = F.col("l_suppkey")
+    usage = F.struct(
+        F.round(F.col("l_quantity") * 1000).cast("bigint").alias("input_tokens"),
+        F.round(F.col("l_extendedprice") / 10).cast("bigint").alias("output_tokens"),
+    )
+    exact = [F.round("l_quantity").cast("bigint"), F.round(F.col("l_extendedprice") * 100).cast("bigint")]
+    id_ = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", *exact).alias("id")  # an order's line number may repeat
+    message = F.struct(id_, F.lit("claude-opus-5").alias("model"), usage.alias("usage"))
+    stamp = F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd'T'00:00:00'Z'")
+    line = F.to_json(F.struct(F.lit("assistant").alias("type"), stamp.alias("timestamp"), message.alias("message")))
+    rows = b.table("lineitem").filter(F.col("l_linenumber") <= 3 if first else key % 2 == 0)
+    sid = F.format_string("%08x-0000-4000-8000-%012x", key.cast("bigint"), key.cast("bigint")).alias("sid")
+    path = f"{root}/raw/{uuid.uuid4().hex}"
+    rows.select(sid, line.alias("value")).repartition("sid").write.partitionBy("sid").text(path)
+    # A transcript's name is its session's, which no Spark writer gives: one rename a file.
+    jvm = b.spark._jvm
+    here = jvm.org.apache.hadoop.fs.Path(f"{path}/sid=*/part-*")
+    fs = here.getFileSystem(b.spark._jsc.hadoopConfiguration())
+    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/in/projects/demo")
+    fs.mkdirs(folder)
+    for found in fs.globStatus(here) or []:
+        name = found.getPath().getParent().getName().removeprefix("sid=")
+        target = jvm.org.apache.hadoop.fs.Path(folder, f"{name}.jsonl")
+        fs.delete(target, False)
+        fs.rename(found.getPath(), target)
+
+
+@query("sync_twice", [], SYNCED)
+def _(b):
+    """Sync, let some transcripts grow, sync again: ledger, turns and what the second sync wrote."""
+    root = f"{checkpoint_root(b.spark).rstrip('/')}/meterbook-sync/{uuid.uuid4().hex}"
+    store = sync.SyncStore(b.spark, f"{root}/store", buckets=8)
+    for first in (True, False):
+        _transcripts(b, root, first)
+        told = sync.sync(Claude, b.spark, f"{root}/in", store, b.dim_price, "v1", "box")
+    turns = store.turns().groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"))
+    second = told.select("session_id", F.col("status").alias("second"))
+    rows = store.ledger.read().join(turns, "session_id").join(second, "session_id", "left")
+    return rows.select("session_id", "input", "output", "total_tokens", "turns", "second")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.capture import capture_health
 from ..sources.ledger import LedgerStore
-from .state import HookHealth, Settlement, use_rocksdb
+from ..sources.log import CommitLog
+from .state import Settlement, use_rocksdb
 
 
 def stream_ledger(
@@ -27,17 +31,44 @@ def stream_ledger(
     return writer.start()
 
 
-def stream_capture_health(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Hook health per key after each batch; write in update mode.
+class HealthStore:
+    """Hook health, a row per key, after every batch seen; each batch is one logged commit.
 
-    ``keys`` are text columns, by default the provider alone; a fleet adds its
-    machine or user, so that no key gathers the events of all.
+    ``keys`` are text columns, by default the provider alone.
     """
-    use_rocksdb(events.sparkSession)
-    keys = keys or ["provider"]
-    return events.groupBy(*keys).transformWithState(
-        HookHealth(keys), HookHealth.output(keys), "Update", "None"
-    )
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str] | None = None):
+        self.spark, self.root, self.keys = spark, root.rstrip("/"), keys or ["provider"]
+        self.log = CommitLog(spark, self.root)
+
+    def health(self) -> DataFrame | None:
+        folder = self.log.last()[1].get("health")
+        return None if folder is None else self.spark.read.parquet(folder)
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        """Fold a batch into the stored rows; one that is there already is left."""
+        number, entry = self.log.last()
+        if entry.get("batch", -1) >= batch_id:
+            return
+        folder = f"{self.root}/health/{uuid.uuid4().hex}"
+        capture_health(batch, self.keys, self.health()).write.parquet(folder)
+        self.log.commit(number + 1, {"batch": batch_id, "health": folder})
+        for old in self.log.forget(keep=2):
+            self.log.remove(old["health"])
+
+
+def stream_capture_health(
+    events: DataFrame, store: HealthStore, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """Hook health per key after each batch, in a store.
+
+    A batch is folded as the batch operator does, in chunks of arrival order, so that a
+    key with most of a fleet's events is no task's alone.
+    """
+    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store.add)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
 
 
 def stream_bursts(

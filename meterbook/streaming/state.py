@@ -134,45 +134,6 @@ class CarryInForce(StatefulProcessor):
         pass
 
 
-class HookHealth(StatefulProcessor):
-    """Latest attempt, success and failure per host, in arrival order."""
-
-    STATE = (
-        "last_attempt_ms bigint, last_attempt_event string, "
-        "last_attempt_status string, last_success_ms bigint, last_failure_ms bigint, "
-        "last_failure_message string"
-    )
-
-    def __init__(self, keys: list[str]):
-        self.keys = keys
-
-    @classmethod
-    def output(cls, keys: list[str]) -> str:
-        return ", ".join([*(f"{k} string" for k in keys), cls.STATE])
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.health = handle.getValueState("health", self.STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        h = list(self.health.get()) if self.health.exists() else [None] * 6
-        for e in sorted(rows, key=lambda r: r.event_id):
-            if h[0] is not None and e.occurred_ms < h[0]:
-                continue
-            h[0], h[1], h[2] = e.occurred_ms, e.hook_event_name, e.status
-            if e.status in ("recorded", "no_usage"):
-                h[3] = e.occurred_ms
-            elif e.status == "failed":
-                h[4] = e.occurred_ms
-                h[5] = e.message or "Unknown hook capture failure"
-        self.health.update(tuple(h))
-        names = ["last_attempt_ms", "last_attempt_event", "last_attempt_status",
-                 "last_success_ms", "last_failure_ms", "last_failure_message"]
-        yield Row(**dict(zip(self.keys, key)), **dict(zip(names, h)))
-
-    def close(self) -> None:
-        pass
-
-
 class Settlement(StatefulProcessor):
     """A run settles when nothing is unresolved and nothing changed for a while.
 

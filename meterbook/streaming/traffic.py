@@ -34,7 +34,11 @@ class TrafficStore:
         turn_windows(batch, self.interval).write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
 
     def totals(self) -> DataFrame:
-        rows = self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/batch=*")
+        """Over the batches that are written as a whole; no row before the first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batch=*/_SUCCESS")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = [str(f.getPath().getParent()) for f in fs.globStatus(path) or []]
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*done) if done else self.spark.createDataFrame([], self.SCHEMA)
         return rows.groupBy("start_ms").agg(
             *[F.sum(c).alias(c) for c in [*SUMS, "total_tokens", "turns"]]
         )

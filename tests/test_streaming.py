@@ -189,17 +189,13 @@ def test_health_in_arrival_order(spark, tmp_path):
         [(1, "claude", "Stop", "recorded", None, 1000), (2, "claude", "Stop", "failed", "boom", 2000)],
         [(3, "claude", "Stop", "recorded", None, 1500), (4, "codex", "Stop", "failed", None, 10)],
     ]
-    seen = []
+    store = sl.HealthStore(spark, str(tmp_path / "health"))
+    assert store.health() is None
     for n, rows in enumerate(batches):
         spark.createDataFrame(rows, HEALTH).write.parquet(str(tmp_path / "in" / f"b{n}"))
         stream = spark.readStream.schema(HEALTH).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-        q = (
-            sl.stream_capture_health(stream).writeStream.outputMode("update")
-            .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
-            .foreachBatch(lambda df, _: seen.extend(df.collect())).start()
-        )
-        q.awaitTermination(120)
-    last = {r.provider: r for r in seen}
+        sl.stream_capture_health(stream, store, str(tmp_path / "ck")).awaitTermination(120)
+    last = {r.provider: r for r in store.health().collect()}
     claude_row = last["claude"]
     assert (claude_row.last_attempt_ms, claude_row.last_attempt_status) == (2000, "failed")
     assert (claude_row.last_success_ms, claude_row.last_failure_message) == (1000, "boom")
@@ -208,6 +204,37 @@ def test_health_in_arrival_order(spark, tmp_path):
     assert {r.provider: r.asDict() for r in batch.collect()} == {k: r.asDict() for k, r in last.items()}
 
 
+def test_health_of_parts_is_that_of_the_whole(spark, tmp_path):
+    import random
+
+    from meterbook.operators.capture import capture_health
+
+    rng = random.Random(6)
+    rows = [
+        (i * 9001, rng.choice("ab"), rng.choice(["Stop", None]), rng.choice(["recorded", "no_usage", "failed", "odd"]), rng.choice([None, "", "m"]), rng.randint(0, 60))
+        for i in range(60)
+    ]
+    store = sl.HealthStore(spark, str(tmp_path / "health"))
+    cuts = [0, 7, 8, 30, 60]
+    for n, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = spark.createDataFrame(rows[low:high], HEALTH)
+        store.add(part, n)
+        store.add(part, n)  # delivered again
+    whole = sorted(map(tuple, capture_health(spark.createDataFrame(rows, HEALTH)).collect()))
+    assert sorted(map(tuple, store.health().collect())) == whole
+
+
+def test_fold_over_many_ranges(spark):
+    """One session over all tasks, by every number of ranges."""
+    import random
+
+    rng = random.Random(8)
+    rows = [("s", rng.choice(["claude"] * 30 + ["codex"]), i, rng.randrange(20), rng.randrange(20) / 10, f"f{i}") for i in range(300)]
+    for parts in (1, 7):
+        got = fold_checkpoints(checkpoints(spark, rows), parts).collect()
+        assert {r.session_id: (r.provider, r.total_tokens, float(r.cost), r.fp) for r in got} == brute(rows)
+
+
 def test_bursts(spark, tmp_path):
     from meterbook.operators.capture import coalesce_bursts
 
@@ -232,6 +259,8 @@ def test_traffic_windows_match_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option(
         "maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     store = TrafficStore(spark, str(tmp_path / "windows"))
+    assert store.totals().count() == 0
+    (tmp_path / "windows" / "batch=99").mkdir(parents=True)  # a batch that is still being written
     stream_traffic(stream, store, str(tmp_path / "ck")).awaitTermination(120)
     state = {r.start_ms: r.turns for r in store.totals().collect()}
     batch = {r.start_ms: r.turns for r in turn_windows(spark.createDataFrame(rows, schema)).collect()}
