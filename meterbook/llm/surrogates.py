@@ -1,12 +1,17 @@
 """Keyed surrogates for personal data, all in DataFrame functions.
 
 One pattern finds e-mail addresses, phone numbers, network addresses, card and account
-numbers, national numbers and titled names. Every distinct entity gets a surrogate
-drawn from a keyed hash: letters and digits keep their kind, case and place, card
-numbers keep a valid check digit if they had one, network addresses stay valid, names
-keep title, gender and script. A surrogate that equals another's, or any entity of the
-corpus, is drawn again, so distinct entities stay distinct and equal ones equal in all
-documents.
+numbers, national numbers and titled names. An entity is reduced to its cores: a number
+without its separators, an address in small letters, a name's given and family name. Every
+distinct core gets a surrogate from a keyed hash, and the entity is built again from it in
+the format found, so that one number is replaced alike in every format and a family
+name alike behind every title and given name. Digits and letters keep their kind, card and
+account numbers stay valid if they were, phone numbers keep their country code, accounts
+their country, network addresses stay valid, names keep title, gender and script.
+
+A surrogate that equals another's, or any core of the corpus, is drawn again a few times;
+what is left then is numbered and gets a longer one with its number in it. So distinct
+entities stay distinct, equal ones equal in all documents, however many there are.
 
 Defined cases: a null text stays null, an empty one empty; a text without entities is
 passed on as it is. Repeated rows get equal surrogates. Columns other than text are
@@ -20,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name, prepare, staged, unstage
 
-#: Draws before an entity format is taken to be used up.
-ROUNDS = 60
+#: Draws in the format found before a surrogate is made longer.
+ROUNDS = 3
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mme", "Mademoiselle", "Г-жа", "Κυρία")
 _MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Г-н", "Κύριος")
 _NEUTRAL = ("Dr", "Prof", "Professor", "Doctor", "Mx", "Д-р", "Проф", "Δρ", "Καθ")
@@ -98,12 +103,31 @@ def _luhn(number: Column) -> Column:
     return F.aggregate(F.transform(digits, value), F.lit(0), lambda a, b: a + b) % 10
 
 
-def _card(entity: Column, seed: Column) -> Column:
-    drawn = _redrawn(entity, seed)
-    body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
+def _card(core: Column, seed: Column, more: Column) -> Column:
+    """A check digit that is as valid as the card's own."""
+    body = F.concat(_redrawn(F.substring(core, F.lit(1), F.length(core) - 1), seed), more)
     check = (F.lit(10) - _luhn(F.concat(body, F.lit("0")))) % 10
     wrong = (check + F.lit(1) + F.pmod(F.xxhash64(seed, F.lit("check")), F.lit(9))) % 10
-    return F.concat(body, F.when(_luhn(entity) == 0, check).otherwise(wrong).cast("int").cast("string"))
+    return F.concat(body, F.when(_luhn(core) == 0, check).otherwise(wrong).cast("int").cast("string"))
+
+
+def _mod_97(core: Column) -> Column:
+    """Remainder of an account number, its first four signs put last, letters as 10 to 35."""
+    turned = F.concat(F.substring(core, F.lit(5), F.length(core)), F.substring(core, 1, 4))
+
+    def step(so_far: Column, c: Column) -> Column:
+        digit = c.rlike("^[0-9]$")
+        return F.when(digit, so_far * 10 + c.try_cast("int")).otherwise(so_far * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), step)
+
+
+def _iban(core: Column, seed: Column, more: Column) -> Column:
+    """The country stays; check digits are computed anew if they were right."""
+    country = F.left(core, F.lit(2))
+    body = F.concat(_redrawn(F.substring(core, F.lit(5), F.length(core)), seed), more)
+    right = F.lpad((F.lit(98) - _mod_97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
+    return F.concat(country, F.when(_mod_97(core) == 1, right).otherwise(_redrawn(F.substring(core, 3, 2), F.sha1(seed))), body)
 
 
 def _ip(seed: Column) -> Column:
@@ -111,94 +135,188 @@ def _ip(seed: Column) -> Column:
     return F.concat_ws(".", *octets)
 
 
-def _ipv6(entity: Column, seed: Column) -> Column:
-    """Hex digits drawn anew in kind and case; the groups stay."""
+def _ipv6(core: Column, seed: Column) -> Column:
+    """Hex digits drawn anew in kind; the groups stay."""
 
     def digit(c: Column, i: Column) -> Column:
         draw = F.pmod(F.xxhash64(seed, i), F.lit(2_400_000_000))
         small = F.substring(F.lit("abcdef"), (draw % 6 + 1).cast("int"), F.lit(1))
-        return F.when(c.rlike("^[0-9]$"), (draw % 10).cast("string")).when(c.rlike("^[a-f]$"), small).when(
-            c.rlike("^[A-F]$"), F.upper(small)
-        ).otherwise(c)
+        return F.when(c.rlike("^[0-9]$"), (draw % 10).cast("string")).when(c.rlike("^[a-f]$"), small).otherwise(c)
 
-    return F.array_join(F.transform(F.split(entity, "(?<=.)(?=.)"), digit), "")
+    return F.array_join(F.transform(F.split(core, "(?<=.)(?=.)"), digit), "")
 
 
-def _national(entity: Column, seed: Column) -> Column:
-    """The leading zero stays."""
-    lead = F.regexp_extract(entity, r"^\(?0", 0)
-    return F.concat(lead, _redrawn(F.substring(entity, F.length(lead) + 1, F.length(entity)), seed))
+def _phone(core: Column, seed: Column) -> Column:
+    """The country code stays, one digit if it is 1 or 7 and else two, and a leading zero."""
+    lead = F.regexp_extract(core, r"^(?:\+[17]|\+\d\d|0)?", 0)
+    return F.concat(lead, _redrawn(F.substring(core, F.length(lead) + 1, F.length(core)), seed))
 
 
-def _phone(entity: Column, seed: Column) -> Column:
-    """The country code stays."""
-    code = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
-    return F.concat(code, _redrawn(F.substring(entity, F.length(code) + 1, F.length(entity)), seed))
+def _email(core: Column, seed: Column, more: Column) -> Column:
+    """The top-level domain stays."""
+    end = F.regexp_extract(core, r"\.[a-z]+$", 0)
+    return F.concat(more, _redrawn(F.substring(core, F.lit(1), F.length(core) - F.length(end)), seed), end)
 
 
-def _email(entity: Column, seed: Column) -> Column:
-    """The top-level domain stays."""
-    end = F.regexp_extract(entity, r"\.[A-Za-z]+$", 0)
-    return F.concat(_redrawn(F.substring(entity, F.lit(1), F.length(entity) - F.length(end)), seed), end)
-
-
-def _name(entity: Column, key: str, attempt: int) -> Column:
-    """Given and family name each follow from the name they stand for."""
-    title = F.regexp_extract(entity, rf"^{_TITLED}", 0)
-    words = F.split(F.substring(entity, F.length(title) + 2, F.length(entity)), " ")
-    given, family = F.when(F.size(words) > 1, words[0]), F.element_at(words, -1)
-    form = F.regexp_extract(title, r"^[^ .]+", 0)
-    out: Column = F.lit(None)
-    for script in ("latin", "greek", "cyrillic"):
-        seed = lambda part, what: F.xxhash64(F.sha2(F.concat(F.lit(f"{key}\0{what}\0{attempt}\0"), part), 256))
-        draw = lambda i, s=script: _pick(_SYLLABLES[s], F.xxhash64(seed(family, "family"), F.lit(i)))
-        last = F.initcap(F.concat(*(draw(i) for i in range(3 + attempt // 4))))
-        first = [_pick(_GIVEN[script, g], seed(given, g)) for g in ("female", "male")]
-        either = _pick(_GIVEN[script, "female"] + _GIVEN[script, "male"], seed(given, "either"))
-        drawn_given = F.when(form.isin(*_FEMALE), first[0]).when(form.isin(*_MALE), first[1]).otherwise(either)
-        given_new = F.when(F.size(words) > 1, drawn_given)
-        built = F.concat_ws(" ", title, given_new, last)
-        inside = F.lit(True) if script == "latin" else family.rlike(rf"\p{{Is{script.capitalize()}}}")
-        out = F.when(inside, built).otherwise(out)
+
+
+def _of_script(core: Column, make) -> Column:
+    """``make(script)`` for the script a word is written in."""
+    out: Column = make("latin")
+    for script in ("greek", "cyrillic"):
+        out = F.when(core.rlike(rf"\p{{Is{script.capitalize()}}}"), make(script)).otherwise(out)
     return out
 
 
-def drawn(kind: Column, entity: Column, key: str, attempt: int) -> Column:
-    """The surrogate of an entity at one attempt."""
-    seed = F.sha2(F.concat(F.lit(f"{key}\0"), kind, F.lit(f"\0{attempt}\0"), entity), 256)
+def _numbered(words: list[str], number: Column, width: int) -> Column:
+    """A number as ``width`` words of equal length, so that different numbers end differently."""
+    base = len(words)
+    digits = [F.pmod(F.floor(number / F.lit(base**i)), F.lit(base)) for i in range(width)]
+    return F.concat(*(_pick(words, d) for d in digits))
+
+
+#: Words that stand for digits in base 26 and 10.
+_LETTERS, _DIGITS = list("abcdefghijklmnopqrstuvwxyz"), list("0123456789")
+
+
+def drawn(kind: Column, core: Column, key: str, attempt: int, number: Column, width: int) -> Column:
+    """The surrogate of a core at one attempt; from the fourth on with its number in it."""
+    seed = F.sha2(F.concat(F.lit(f"{key}\0"), kind, F.lit(f"\0{attempt}\0"), core), 256)
+    long = attempt >= ROUNDS
+    more = lambda words: _numbered(words, number, width) if long else F.lit("")
+    half = F.pmod(F.floor(number / 65536), F.lit(65536)).cast("long")
+    shifted = F.pmod(number * 7 + attempt, F.lit(1 << 28)).cast("long")
+    octets = [F.pmod(F.floor(shifted / F.lit(256**i)), F.lit(256)).cast("long").cast("string") for i in (2, 1, 0)]
+    ip = F.concat_ws(".", (F.lit(240) + F.floor(shifted / F.lit(256**3))).cast("long").cast("string"), *octets) if long else _ip(seed)
+    hexed = F.concat(F.lit(f"fd00:{attempt}::"), F.lower(F.hex(half)), F.lit(":"), F.lower(F.hex(F.pmod(number, F.lit(65536)).cast("long"))))
+    family = lambda s: F.concat(*(_pick(_SYLLABLES[s], F.xxhash64(seed, F.lit(i))) for i in range(3)), more(_SYLLABLES[s]))
+    given = lambda g: lambda s: F.concat(F.lower(_pick(g(s), F.xxhash64(seed))), more(_SYLLABLES[s]))
+    pool = {"f": lambda s: _GIVEN[s, "female"], "m": lambda s: _GIVEN[s, "male"]}
+    either = lambda s: _GIVEN[s, "female"] + _GIVEN[s, "male"]
     return (
-        F.when(kind == "ip", _ip(seed)).when(kind == "card", _card(entity, seed))
-        .when(kind == "email", _email(entity, seed)).when(kind == "phone", _phone(entity, seed))
-        .when(kind == "ipv6", _ipv6(entity, seed)).when(kind.isin("phone_national", "phone_bare"), _national(entity, seed))
-        .when(kind == "name", _name(entity, key, attempt)).otherwise(_redrawn(entity, seed))
+        F.when(kind == "ip", ip).when(kind == "card", _card(core, seed, more(_DIGITS)))
+        .when(kind == "iban", _iban(core, seed, more(_DIGITS)))
+        .when(kind == "email", _email(core, seed, more(_LETTERS)))
+        .when(kind == "phone", F.concat(_phone(core, seed), more(_DIGITS)))
+        .when(kind == "ipv6", hexed if long else _ipv6(core, seed))
+        .when(kind == "family", _of_script(core, family))
+        .when(kind == "given f", _of_script(core, given(pool["f"]))).when(kind == "given m", _of_script(core, given(pool["m"])))
+        .when(kind == "given", _of_script(core, given(either)))
+        .otherwise(F.concat(_redrawn(core, seed), more(_DIGITS)))
     )
 
 
-def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
-    """(entity, surrogate) for distinct entities: no surrogate twice, none an entity.
+#: Kinds whose numbers are one whatever their format, by the name they go by.
+_SAME = {"phone_local": "phone", "phone_national": "phone", "phone_bare": "phone"}
+
 
-    Each round draws for what is still open; of equal draws the smallest entity keeps
-    its own. What is settled is in the shared folder.
+def cores_of(kind: Column, entity: Column) -> Column:
+    """The cores an entity is built of: for a name its family name and, if there is one, its given name."""
+    words = F.split(F.lower(F.substring(entity, F.length(_title(entity)) + 2, F.length(entity))), " ")
+    form = F.regexp_extract(entity, r"^[^ .]+", 0)
+    given = F.when(form.isin(*_FEMALE), "given f").when(form.isin(*_MALE), "given m").otherwise("given")
+    core = lambda k, c: F.struct(k.alias("kind"), c.alias("core"))
+    family = core(F.lit("family"), F.element_at(words, -1))
+    of_name = F.when(F.size(words) > 1, F.array(family, core(given, words[0]))).otherwise(F.array(family))
+    plain = F.when(kind.isin("email", "ip", "ipv6"), F.lower(entity)).otherwise(F.regexp_replace(F.upper(entity), r"[^0-9A-Z+]", ""))
+    same = reduce(lambda rest, k: F.when(kind == k, _SAME[k]).otherwise(rest), _SAME, kind)
+    return F.when(kind == "name", of_name).otherwise(F.array(core(same, plain)))
+
+
+def _title(entity: Column) -> Column:
+    return F.regexp_extract(entity, rf"^{_TITLED}", 0)
+
+
+def _rendered(kind: Column, entity: Column, new: Column) -> Column:
+    """An entity's surrogate from those of its cores, in the entity's own format and case."""
+    first, second = new[0], F.try_element_at(new, F.lit(2))
+    signs = F.split(entity, "(?<=.)(?=.)")
+    cased = lambda c, like: F.when(like.rlike("^[A-Z]$"), F.upper(c)).when(like.rlike("^[a-z]$"), F.lower(c)).otherwise(c)
+    alike = F.array_join(F.zip_with(signs, F.split(first, "(?<=.)(?=.)"), lambda like, c: cased(c, like)), "")
+    state = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
+
+    def fill(a: Column, c: Column) -> Column:
+        taken = cased(F.substring(first, a["at"] + 1, F.lit(1)), c)
+        return F.when(c.rlike("^[0-9A-Za-z+]$"), state(a["at"] + 1, F.concat(a["out"], taken))).otherwise(
+            state(a["at"], F.concat(a["out"], c))
+        )
+
+    filled = F.aggregate(signs, state(F.lit(0), F.lit("")), fill, lambda a: F.concat(a["out"], F.substring(first, a["at"] + 1, F.length(first))))
+    words = F.split(F.substring(entity, F.length(_title(entity)) + 2, F.length(entity)), " ")
+    shown = lambda word, like: F.when((like == F.upper(like)) & (F.length(like) > 1), F.upper(word)).otherwise(F.initcap(word))
+    named = F.concat_ws(" ", _title(entity), F.when(second.isNotNull(), shown(second, words[0])), shown(first, F.element_at(words, -1)))
+    same_length = F.length(first) == F.length(entity)
+    return (
+        F.when(kind == "name", named)
+        .when(kind.isin("email", "ip", "ipv6"), F.when(same_length, alike).otherwise(first))
+        .otherwise(filled)
+    )
+
+
+def _group(kind: Column) -> Column:
+    """Kinds whose surrogates must differ from one another's: given names are one."""
+    return F.when(kind.startswith("given"), "given").otherwise(kind)
+
+
+def core_table(cores: DataFrame, key: str) -> DataFrame:
+    """(kind, core, new) for distinct cores: no surrogate twice in a group, none a core of it.
+
+    Each round draws for what is still open; of equal draws the smallest core keeps its own.
+    After ``ROUNDS`` the open ones are numbered and surrogates end in their number, one sign
+    longer each round: those differ from one another, and in the end from all that is shorter.
     """
-    known = entities.select("entity")
-    open_ = entities.select("kind", "entity")
-    settled: DataFrame | None = None
-    for attempt in range(ROUNDS):
-        tried = open_.withColumn("surrogate", drawn(F.col("kind"), F.col("entity"), key, attempt))
-        won = tried.groupBy("surrogate").agg(F.min("entity").alias("entity"))
-        won = won.join(known.withColumnRenamed("entity", "surrogate"), "surrogate", "left_anti")
+    spark = cores.sparkSession
+    known = cores.select(_group(F.col("kind")).alias("group"), F.col("core").alias("new")).distinct()
+    open_, settled, attempt, width = cores.withColumn("number", F.lit(0).cast("long")), None, 0, 1
+    while True:
+        if attempt == ROUNDS:
+            # Numbered over all partitions: an id's high part is its partition, of bounded number.
+            ids = staged(open_.select("kind", "core").orderBy("core", "kind").withColumn("id", F.monotonically_increasing_id()), "numbers")
+            part = F.shiftright("id", 33).cast("int")
+            before, starts = 0, []
+            for r in ids.groupBy(part.alias("part")).count().orderBy("part").collect():
+                starts.append((r.part, before))
+                before += r["count"]
+            start = spark.createDataFrame(starts, "part int, start long")
+            rank = F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+            open_ = staged(ids.withColumn("part", part).join(start, "part").select("kind", "core", rank.alias("number")), "open")
+            width = max(1, len(str(before)))
+        elif attempt > ROUNDS:
+            width += 1
+        tried = open_.withColumn("new", drawn(F.col("kind"), F.col("core"), key, attempt, F.col("number"), width))
+        tried = tried.withColumn("group", _group(F.col("kind")))
+        won = tried.groupBy("group", "new").agg(F.min(F.struct("core", "kind")).alias("x"))
+        won = won.join(known, ["group", "new"], "left_anti")
         if settled is not None:
-            won = won.join(settled.select("surrogate"), "surrogate", "left_anti").unionByName(settled)
-        before, settled = settled, staged(won.select("entity", "surrogate"), "surrogates")
-        left = staged(entities.join(settled.select("entity"), "entity", "left_anti").select("kind", "entity"), "open")
-        for old in (before, *([open_] if attempt else [])):
+            won = won.join(settled.select("group", "new"), ["group", "new"], "left_anti")
+        won = won.select("group", "new", "x.core", "x.kind")
+        won = won if settled is None else won.unionByName(settled)
+        last, settled = settled, staged(won, "surrogates")
+        left = staged(open_.join(settled.select("kind", "core"), ["kind", "core"], "left_anti"), "open")
+        for old in (last, *([open_] if attempt else [])):
             if old is not None:
                 unstage(old)
         open_ = left
         if open_.isEmpty():
             unstage(open_)
-            return settled
-    raise ValueError("an entity format has fewer values than the corpus has entities")
+            return settled.select("kind", "core", "new")
+        attempt += 1
+
+
+def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
+    """(entity, surrogate) for distinct entities of (kind, entity)."""
+    parts = entities.select("kind", "entity", F.posexplode(cores_of(F.col("kind"), F.col("entity"))).alias("at", "c"))
+    parts = staged(parts.select("kind", "entity", "at", F.col("c.kind").alias("of"), "c.core"), "cores")
+    # A given name without a gender of its own goes with the only one it has elsewhere.
+    given = parts.filter("of IN ('given f', 'given m')").groupBy("core").agg(F.min("of").alias("one"), F.max("of").alias("other"))
+    told = given.filter("one = other").select("core", "one", F.lit("given").alias("of"))
+    parts = parts.join(told, ["core", "of"], "left").withColumn("of", F.coalesce("one", "of")).drop("one")
+    parts = staged(parts, "parts")
+    table = core_table(parts.select(F.col("of").alias("kind"), "core").distinct(), key)
+    met = parts.join(table.withColumnRenamed("kind", "of"), ["of", "core"])
+    whole = met.groupBy("entity").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("at", "new"))).alias("found"))
+    new = F.transform("found", lambda x: x["new"])
+    return whole.select("entity", _rendered(F.col("kind"), F.col("entity"), new).alias("surrogate"))
 
 
 def entities_of(text: Column) -> Column:
@@ -214,23 +332,27 @@ def replace_personal(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     by the digest of their list of entities.
     """
     prepare(docs.sparkSession)
-    ents, pack, want, new = (free_name(docs, c) for c in ("entities", "pack", "pack_of", "new"))
+    ents, pieces, want, new = (free_name(docs, c) for c in ("entities", "pieces", "pack_of", "new"))
     text = F.col("`text`").cast("string")
+    # The pattern goes over the texts once: rows, their entities and what lies between are staged.
     marked = docs.withColumn(ents, F.coalesce(entities_of(text), F.array().cast("array<string>")))
+    between = F.when(F.size(ents) > 0, F.split(text, PATTERN, -1))
+    kept = F.when(F.size(ents) == 0, text)
+    rows = staged(marked.withColumn(pieces, between).withColumn("text", kept), "marked")
     digest = F.sha2(F.array_join(F.col(ents), "\0"), 256)
-    lists = staged(marked.filter(F.size(ents) > 0).select(F.col(ents).alias("all"), digest.alias("pack")).distinct(), "entities")
+    some = rows.filter(F.size(ents) > 0)
+    lists = staged(some.select(F.col(ents).alias("all"), digest.alias("pack")).distinct(), "entities")
     each = lists.select("pack", F.posexplode("all").alias("at", "entity"))
     distinct = each.select("entity").distinct().withColumn("kind", kind_of(F.col("entity")))
-    table = surrogate_table(staged(distinct, "kinds"), key)
+    table = staged(surrogate_table(staged(distinct, "kinds"), key), "table")
     placed = each.join(table, "entity").groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("found"))
     packs = staged(placed.select(F.col("pack").alias(want), F.transform("found", lambda x: x["surrogate"]).alias(new)), "packs")
     unstage(lists)
 
-    plain = marked.filter(F.size(ents) == 0).drop(ents)
-    some = marked.filter(F.size(ents) > 0).withColumn(pack, digest).join(packs, F.col(pack) == F.col(want))
-    pieces = F.split(text, PATTERN, -1)
-    full = F.array_join(F.zip_with(pieces, F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    some = some.join(packs, digest == F.col(want))
+    full = F.array_join(F.zip_with(F.col(pieces), F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     some = some.withColumn("text", full)
     if "n_chars" in docs.columns:
         some = some.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return plain.unionByName(some.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    plain = rows.filter(F.size(ents) == 0)
+    return plain.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(some.select(*(F.col(f"`{c}`") for c in docs.columns)))

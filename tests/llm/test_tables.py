@@ -2,6 +2,7 @@ import base64
 import hashlib
 import ipaddress
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,68 @@ def test_surrogates_stay_distinct_when_draws_collide(spark):
     rows = [("name", f"Mr Aa{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") for i in range(4000)]
     table = surrogates.surrogate_table(staged(spark.createDataFrame(rows, "kind string, entity string"), "test"), "k").collect()
     assert len({r.entity for r in table}) == len({r.surrogate for r in table}) == 4000
+
+
+def mod_97(iban):
+    iban = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def table_of(spark, rows, key="k"):
+    distinct = staged(spark.createDataFrame(sorted(set(rows)), "kind string, entity string"), "test")
+    return {r.entity: r.surrogate for r in surrogates.surrogate_table(distinct, key).collect()}
+
+
+def test_one_core_has_one_surrogate_in_every_format(spark):
+    same = [
+        [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "DE89370400440532013000")],
+        [("phone", "+49 30 1234567"), ("phone", "+49-30-1234567"), ("phone", "+49 (30) 1234567")],
+        [("card", "4111 1111 1111 1111"), ("card", "4111-1111-1111-1111"), ("card", "4111111111111111")],
+        [("email", "Ann@X.com"), ("email", "ann@x.com"), ("email", "ANN@x.com")],
+        [("phone_local", "555-123-4567"), ("phone_local", "(555) 123-4567"), ("phone_bare", "5551234567")],
+    ]
+    got = table_of(spark, [r for rows in same for r in rows])
+    bare = lambda t: "".join(c for c in t.lower() if c.isalnum() or c in "+@")
+    for rows in same:
+        assert len({bare(got[e]) for _, e in rows}) == 1
+        for _, e in rows:
+            assert bare(got[e]) != bare(e) and len(got[e]) == len(e)
+            assert [c.isalnum() for c in got[e]] == [c.isalnum() for c in e]
+            assert [c.isupper() for c in got[e]] == [c.isupper() for c in e]
+    iban = got["DE89 3704 0044 0532 0130 00"]
+    assert iban.startswith("DE") and mod_97(iban) == 1 and luhn(got["4111111111111111"])
+    assert got["+49 30 1234567"].startswith("+49 ")
+
+
+def test_names_keep_coreference_when_given_names_run_out(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6)).capitalize()
+    given, family = [word() for _ in range(60)] + ["Adam", "Alma"], [word() for _ in range(12)] + ["Smith", "ΣΟΦΟΥ", "Иванов"]
+    names = [f"{t} {g} {f}" for t in ("Mr", "Mrs.", "Dr") for g in given for f in family if rng.random() < 0.3]
+    names += [f"{t} {f}" for t in ("Mr", "Frau", "Prof. Dr.") for f in family] + ["Mr JOHN SMITH", "Mr John Smith"]
+    got = table_of(spark, [("name", n) for n in names])
+    assert len(got) == len(set(names)) == len(set(got.values())) and not set(got) & set(got.values())
+    families, givens, men, women = {}, {}, set(), set()
+    for entity, new in got.items():
+        title = re.match(r"(?:Prof\. Dr\.|Mrs\.|Mr|Frau|Dr)(?= )", entity)[0]
+        assert new.startswith(title + " ")
+        old, now = entity[len(title) + 1 :].split(" "), new[len(title) + 1 :].split(" ")
+        assert len(old) == len(now) and [w.isupper() for w in old] == [w.isupper() for w in now]
+        families.setdefault(old[-1].lower(), set()).add(now[-1].lower())
+        if len(old) > 1:
+            givens.setdefault((old[0].lower(), title in ("Mr",), title in ("Mrs.",)), set()).add(now[0].lower())
+            (men if title == "Mr" else women if title == "Mrs." else set()).add(now[0].lower())
+    assert all(len(v) == 1 for v in families.values()) and all(len(v) == 1 for v in givens.values())
+    assert len(set.union(*families.values())) == len(families)
+    assert len(set.union(*families.values()) & {f.lower() for f in family}) == 0 and not men & women
+    starts = lambda names, g: all(n.startswith(tuple(x.lower() for x in surrogates._GIVEN["latin", g])) for n in names)
+    assert starts(men, "male") and starts(women, "female")
+
+
+def test_short_formats_never_run_out(spark):
+    rows = [("email", f"{a}@{b}.co") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrst"]
+    rows += [("ipv6", f"{a}{b}8::") for a in "abcdef" for b in "abcdef"] + [("national", f"00{i}-0{j}-000{k}") for i in range(3) for j in range(3) for k in range(3)]
+    got = table_of(spark, rows)
+    assert len(got) == len(rows) == len(set(got.values())) and not set(got) & set(got.values())
+    assert all(new.endswith(".co") and "@" in new for old, new in got.items() if "@" in old)
+    assert all(ipaddress.ip_address(new).version == 6 for old, new in got.items() if ":" in old)
