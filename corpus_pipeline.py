@@ -1,4 +1,13 @@
-"""The corpus pipeline: score, deduplicate, decontaminate, replace personal data, tokenize."""
+"""The corpus pipeline: score, deduplicate, decontaminate, replace personal data, tokenize.
+
+Defined cases: a null or empty text scores the share of good labels, so it stays or goes
+with that; it is no copy of anything, holds no test and no personal data, stays as it is
+and has no tokens. Rows of one doc_id are one document to the deduplication, which keeps
+or drops them all. A row without a doc_id is never a copy. Without labels every score is
+one half, and nothing is kept; without a benchmark nothing is dropped for it. An empty
+table gives an empty result. Columns beyond those of documents pass through, whatever
+their names, as far as the last stage.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
