@@ -5,12 +5,13 @@ Templates are cut into overlapping groups of three words; of every four successi
 groups the one of smallest hash goes into an inverted index. A document's groups that
 are in the index give template, place and so a diagonal. Around each cluster of
 diagonals a banded local alignment of words decides how much of the template is
-there, and where. That finds what is copied closely.
+there, and where. Of templates too short to be winnowed every pair of words is in the
+index, and the band is as wide as a local alignment can leave its diagonal.
 
-What is left is looked for by words: of any template words one more than may miss, one
-is in every match, so the rarest serve. Where the words around one of them hold enough
-of the template's, they are aligned without a band. So no match is lost, whatever
-words differ, miss or were put between.
+What is left is looked for by words, to show that nothing was lost: of any template
+words one more than may miss, one is in every match, so the rarest serve. Where the words
+around one of them hold enough of the template's, they are aligned without a band.
+``found_by`` tells which of the two found a match.
 
 Defined cases: a null or empty text has no match. Repeated documents each get their
 own rows. Overlapping matches of different templates are all reported, but of the
@@ -20,6 +21,7 @@ the whole text, end exclusive.
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from .common import columns, map_rows, prepare
 
 GROUP, WINDOW, BAND = 3, 4, 12
 COVERAGE = 0.75
-#: Templates of up to so many words are looked for by rare words alone.
+#: Templates of up to so many words have every pair of words in the index.
 SHORT = 12
 #: Words taken last as rare ones; a matter of speed only.
 _COMMON = set("a all an and any as at be by for from in is it not of on or that the this to under version with work you 0 1 2 3 4".split())
@@ -143,22 +145,29 @@ class Index:
         self.templates = {name: tokens(text) for name, text in (templates or TEMPLATES).items()}
         self.need = {name: max(1, math.ceil(coverage * len(words))) for name, words in self.templates.items()}
         self.groups: dict[tuple[str, ...], list[tuple[str, int]]] = defaultdict(list)
+        self.pairs: dict[tuple[str, ...], list[tuple[str, int]]] = defaultdict(list)
         self.rare: dict[str, list[str]] = defaultdict(list)
         used = Counter(word for words in self.templates.values() for word in set(words))
         for name, words in self.templates.items():
-            for at in winnow(words):
-                self.groups[tuple(words[at : at + GROUP])].append((name, at))
+            if len(words) > SHORT:
+                for at in winnow(words):
+                    self.groups[tuple(words[at : at + GROUP])].append((name, at))
+            for at in range(len(words) - 1 if len(words) <= SHORT else 0):
+                self.pairs[tuple(words[at : at + 2])].append((name, at))
             rarest = sorted(words, key=lambda w: (w in _COMMON, used[w], -len(w)))
             for word in set(rarest[: len(words) - self.need[name] + 1]):
                 self.rare[word].append(name)
-        self.first = {group[0] for group in self.groups}
+        self.first = {group[0] for group in [*self.groups, *self.pairs]}
 
     def anchors(self, words: list[str]) -> dict[str, list[tuple[int, int]]]:
         """By template: (place in the text, place in the template)."""
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        first, groups = self.first, self.groups
+        first, groups, pairs = self.first, self.groups, self.pairs
         for at in [i for i, w in enumerate(words) if w in first]:
-            for name, place in groups.get(tuple(words[at : at + GROUP]), ()):
+            group = tuple(words[at : at + GROUP])
+            for name, place in groups.get(group, ()):
+                found[name].append((at, place))
+            for name, place in pairs.get(group[:2], ()):
                 found[name].append((at, place))
         return found
 
@@ -255,21 +264,65 @@ def dense(text: list[str | None], template: list[str], need: int, start: int, en
     return out
 
 
-def aligned(text: list[str | None], template: list[str], need: int, places: list[int]) -> Iterator[tuple[int, int, int]]:
+def windowed(
+    text: list[str | None], template: list[str], need: int, anchors: list[tuple[int, int]] | None, start: int, end: int
+) -> tuple[int, int, int] | None:
+    """``align`` of a window, around the diagonals of the anchors in it; places are those of the text."""
+    low, high = -len(template), end - start
+    if anchors is not None:
+        inside = anchors[bisect_left(anchors, (start, 0)) : bisect_left(anchors, (end, 0))]
+        if not inside:
+            return None
+        # A match scores 2 and all else costs 1, so no alignment leaves a diagonal by more.
+        slack, diagonals = 2 * len(template), [at - start - place for at, place in inside]
+        low, high = max(low, min(diagonals) - slack), min(high, max(diagonals) + slack)
+    got = align(text[start:end], template, low, high, need)
+    return got and (got[0], start + got[1], start + got[2])
+
+
+def leader(
+    text: list[str | None], template: list[str], need: int, anchors: list[tuple[int, int]] | None, start: int, end: int
+) -> tuple[int, int, int] | None:
+    """An alignment that is better than all that overlap it, near the start.
+
+    No alignment is as long as three templates, so a window of six holds whatever
+    overlaps one in its first half. One further behind is looked at with its surroundings.
+    """
+    reach = 3 * len(template)
+    got = None
+    for at in range(start, max(start + 1, end - reach), reach):
+        stop = min(end, at + 2 * reach)
+        if got := windowed(text, template, need, anchors, at, stop):
+            break
+    for _ in range(2 * len(template)):  # each step scores higher
+        if got is None or (at <= max(start, got[1] - reach) and min(end, got[2] + reach) <= stop):
+            return got
+        at, stop = max(start, got[1] - reach), min(end, got[2] + reach)
+        better = windowed(text, template, need, anchors, at, stop)
+        if better is None or better == got:
+            return got
+        got = better
+    return got
+
+
+def aligned(
+    text: list[str | None], template: list[str], need: int, places: list[int], anchors: list[tuple[int, int]] | None = None
+) -> Iterator[tuple[int, int, int]]:
     """(matched words, first text word, one past the last) of alignments around the places.
 
     A match scores 2 and everything else costs 1, so no alignment is as long as three
-    templates. Of overlapping alignments the best stays.
+    templates. Of overlapping alignments the best stays. With anchors, alignments are
+    banded around them. The time is that of the text's length, whatever it repeats.
     """
     reach = 3 * len(template)
     for near in stretches(places, reach, reach, len(text)):
         parts = [(max(near[0], start), end) for start, end in stretches(dense(text, template, need, *near), reach, 0, near[1])]
         while parts:
             start, end = parts.pop()
-            got = align(text[start:end], template, -len(template), end - start, need)
+            got = leader(text, template, need, anchors, start, end) if end - start >= need else None
             if got:
-                yield got[0], start + got[1], start + got[2]
-                parts += [(start, start + got[1]), (start + got[2], end)]
+                yield got
+                parts += [(got[2], end), (start, got[1])]
 
 
 def closest(found: dict[str, set[tuple[int, int, int]]], index: Index) -> list[tuple[str, int, int, int]]:
@@ -295,20 +348,22 @@ def closest(found: dict[str, set[tuple[int, int, int]]], index: Index) -> list[t
     return kept
 
 
-def matches(text: str | None, index: Index) -> list[tuple[str, int, int, int, int]]:
-    """(template, start, end, matched words, template words) in one text, by start."""
+def traced(text: str | None, index: Index) -> list[tuple[str, int, int, int, int, str]]:
+    """(template, start, end, matched words, template words, found by) in one text, by start."""
     if not text:
         return []
     words = tokens(text)
     found: dict[str, set[tuple[int, int, int]]] = defaultdict(set)
     for name, anchors in index.anchors(words).items():
-        template = index.templates[name]
+        template, need = index.templates[name], index.need[name]
         if len(template) <= SHORT:
+            found[name].update(aligned(words, template, need, [at for at, _ in anchors], anchors))
             continue
         for low, high, _ in clusters(anchors, len(template)):
-            got = align(words, template, low - band(len(template)), high + band(len(template)), index.need[name])
+            got = align(words, template, low - band(len(template)), high + band(len(template)), need)
             if got:
                 found[name].add(got)
+    indexed = {(name, *got) for name, of in found.items() for got in of}
     for name, places in index.places(words).items():
         left: list[str | None] = words
         if found[name]:
@@ -321,14 +376,20 @@ def matches(text: str | None, index: Index) -> list[tuple[str, int, int, int, in
         return []
     spans = [m.span() for m in _WORD.finditer(text)]  # the words of ``tokens``, one for one
     out = {
-        (name, spans[first][0], spans[last - 1][1], matched, len(index.templates[name]))
-        for name, matched, first, last in closest(found, index)
-    }
+        (match[0], spans[match[2]][0], spans[match[3] - 1][1], match[1], len(index.templates[match[0]]),
+         "index" if match in indexed else "words")
+        for match in closest(found, index)
+    }
     return sorted(out, key=lambda m: (m[1], m[0], m[2]))
 
 
+def matches(text: str | None, index: Index) -> list[tuple[str, int, int, int, int]]:
+    """``traced`` without what found the match."""
+    return [match[:5] for match in traced(text, index)]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, template, start, end, matched, words, coverage; one row per match.
+    """doc_id, template, start, end, matched, words, found_by, coverage; one row per match.
 
     The templates are a fixed list; nothing is shuffled.
     """
@@ -337,8 +398,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     def work(rows: Iterator[tuple]) -> Iterator[tuple]:
         index = Index(templates, coverage)
         for doc_id, text in rows:
-            for name, start, end, matched, size in matches(text, index):
-                yield doc_id, name, start, end, matched, size
+            for match in traced(text, index):
+                yield doc_id, *match
 
-    found = map_rows(columns(docs, doc_id="long", text="string"), work, "doc_id long, template string, start int, end int, matched int, words int")
+    schema = "doc_id long, template string, start int, end int, matched int, words int, found_by string"
+    found = map_rows(columns(docs, doc_id="long", text="string"), work, schema)
     return found.withColumn("coverage", F.round(F.col("matched") / F.col("words"), 6))

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import random
+import time
 import re
 
 import numpy as np
@@ -279,6 +280,46 @@ def test_variants_have_their_own_names():
         assert name in names(licenses.TEMPLATES[name])
 
 
+def best_first(words, template, need):
+    """The best alignment of all cells, then the best before and behind it, and so on."""
+    got = licenses.align(words, template, -len(template), len(words), need) if words else None
+    if not got:
+        return set()
+    behind = {(m, f + got[2], e + got[2]) for m, f, e in best_first(words[got[2] :], template, need)}
+    return {got} | best_first(words[: got[1]], template, need) | behind
+
+
+def test_copies_in_a_row_equal_best_first():
+    index, rng = licenses.Index(), random.Random(8)
+    for name in ("mit-line", "all-rights", "cc-by-nc", "apache-line", "gpl-line"):
+        template, need = index.templates[name], index.need[name]
+        for _ in range(40):
+            text = []
+            for _ in range(rng.randint(1, 8)):
+                text += [w if rng.random() < 0.9 else "other" for w in template if rng.random() < 0.95]
+                text += ["x"] * rng.choice((0, 0, 1, 3))
+            assert set(licenses.aligned(text, template, need, list(range(len(text))))) == best_first(text, template, need)
+
+
+def test_a_notice_thousands_of_times_takes_linear_time():
+    index, line = licenses.Index({"all-rights": licenses.TEMPLATES["all-rights"]}), "All rights reserved. "
+    seconds = []
+    for times in (700, 7_000):
+        start = time.process_time()
+        found = licenses.traced(line * times, index)
+        seconds.append(time.process_time() - start)
+        assert len(found) == times and {m[5] for m in found} == {"index"}
+    assert seconds[1] < 30 * seconds[0]
+
+
+def test_short_lines_come_through_the_index():
+    index = licenses.Index()
+    for name, words in index.templates.items():
+        assert {m[5] for m in licenses.traced(f"x {licenses.TEMPLATES[name]} y", index) if m[0] == name} == {"index"}
+    strewn = licenses.traced("all x rights x reserved", index)
+    assert [(m[0], m[5]) for m in strewn] == [("all-rights", "words")]
+
+
 def test_license_rows(frame):
     line = licenses.TEMPLATES["apache-line"]
     rows = frame((1, f"É {line} End."), (2, None), (3, ""), (4, "Licensed under the moon"), (1, f"{line}\n{line}"))
