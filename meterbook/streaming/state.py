@@ -29,32 +29,35 @@ def _is_json(text: str) -> bool:
 class LineAssembler(StatefulProcessor):
     """Complete lines of a file from its increments, numbered in order.
 
-    Increments are taken by their own number, one after the other: one that
+    Increments are taken by their own number, each naming the one after it: one that
     arrives early waits until those before it are here, one that comes again is
     left out. The first number is that of ``first``. An incomplete last record
-    waits for the next increment of its file.
+    waits for the next increment of its file. With ``restarts`` the first number,
+    when it comes again, begins the file anew, line numbers included.
     """
 
     OUTPUT = "source string, line bigint, value string"
 
-    def __init__(self, first: int = 1):
-        self.first = first
+    def __init__(self, first: int = 1, restarts: bool = False):
+        self.first, self.restarts = first, restarts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rest = handle.getValueState("rest", "tail string, line bigint, next bigint")
         # Increments that came early, one entry at a time on disk.
-        self.early = handle.getMapState("early", "increment bigint", "text string")
+        self.early = handle.getMapState("early", "increment bigint", "text string, next bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.rest.get() if self.rest.exists() else None
         tail, line, wanted = tuple(held) if held else ("", 0, self.first)
         for row in rows:
-            if row.increment >= wanted:
-                self.early.updateValue((row.increment,), (row.text,))
+            if row.increment >= wanted or self.restarts:
+                self.early.updateValue((row.increment,), (row.text, row.next))
+        if self.restarts and self.early.containsKey((self.first,)):
+            tail, line, wanted = "", 0, self.first
         while self.early.containsKey((wanted,)):
-            text = self.early.getValue((wanted,))[0]
+            text, following = self.early.getValue((wanted,))
             self.early.removeKey((wanted,))
-            wanted += 1
+            wanted = following
             *full, tail = (tail + text).split("\n")
             if tail.strip() and _is_json(tail):
                 full.append(tail)
