@@ -31,7 +31,7 @@ def run(df, tmp, name):
 def deduped(df, tmp):
     """Run a stream of responses through the store of seen ids, a batch per folder."""
     spark = df.sparkSession
-    seen = ingest.SeenResponses(spark, str(tmp / "seen"), buckets=4)
+    seen = ingest.SeenResponses(spark, str(tmp / "seen"))
     sink = lambda batch, n: batch.write.mode("overwrite").parquet(str(tmp / "out" / f"n={n}"))
     ingest.stream_dedupe(df, seen, sink, str(tmp / "out-ck")).awaitTermination(120)
     return spark.read.schema(df.schema).parquet(str(tmp / "out" / "n=*"))
@@ -67,7 +67,7 @@ def test_old_responses_and_early_increments_count(spark, tmp_path):
 
 
 def test_seen_ids_replay(spark, tmp_path):
-    seen = ingest.SeenResponses(spark, str(tmp_path / "seen"), buckets=2)
+    seen = ingest.SeenResponses(spark, str(tmp_path / "seen"))
     rows = lambda *ids: spark.createDataFrame([("s", i, 1) for i in ids], "session_id string, response_id string, n int")
     new = lambda batch, n: sorted(r.response_id or "" for r in seen.fresh(batch, n).collect())
     assert new(rows("a", "a", None), 0) == ["", "a"]
