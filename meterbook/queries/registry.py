@@ -58,6 +58,6 @@ def query(name: str, needs: list[str] | None = None, sql: str | None = None):
 
 def load() -> dict[str, Query]:
     """Every registered query; importing the modules fills the registry."""
-    from . import columns, ledger, projects, reconcile, spend, streams, texts, timeline  # noqa: F401
+    from . import columns, files, ledger, projects, reconcile, spend, streams, texts, timeline  # noqa: F401
 
     return REGISTRY
