@@ -177,6 +177,34 @@ def import_counts(
     )
 
 
+def import_anomalies(raw: DataFrame) -> DataFrame:
+    """(line, kind, detail) of legacy lines to look at: too few fields, or a start that is no time.
+
+    Lines with too few fields are not imported; the others are, as they stand.
+    """
+    start = F.coalesce("start_time", F.lit(""))
+    kind = F.when(F.col("malformed"), "fields").when(cf.instant_ms(start).isNull(), "start_time")
+    return raw.select(
+        "line", kind.alias("kind"), F.when(F.col("malformed"), F.col("raw")).otherwise(start).alias("detail")
+    ).filter("kind IS NOT NULL")
+
+
+def import_check(rows: DataFrame, before: DataFrame, after: DataFrame, amount: str = "cost") -> DataFrame:
+    """One row: sessions and total that the import should have left, those it left, and whether they agree.
+
+    What should be there is the ledger as it was with the first legacy row of each new key.
+    """
+    def totals(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias(f"{name}_sessions"), F.coalesce(F.sum(amount), F.lit(0)).alias(f"{name}_total"))
+
+    wanted = before.select(amount).unionByName(import_legacy(rows, before).select(amount))
+    left, right = totals(wanted, "expected"), totals(after, "found")
+    names = [*left.columns, *right.columns]
+    one = left.select("*", *[right.select(c).scalar().alias(c) for c in right.columns])
+    same = (F.col("expected_sessions") == F.col("found_sessions")) & (F.col("expected_total") == F.col("found_total"))
+    return one.select(*names, same.alias("agrees"))
+
+
 def dedupe_ledger_rows(rows: DataFrame) -> DataFrame:
     """Last file in name order wins per session id; rows without an id stay."""
     named = rows.filter(F.coalesce("session_id", F.lit("")) != "")

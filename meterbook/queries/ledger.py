@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import codex as cx
@@ -10,7 +12,7 @@ from ..operators import opencode as oc
 from ..operators import pricing as pr
 from ..operators import responses as rs
 from ..operators.breakdown import model_breakdown, session_usage, turn_models
-from ..session import staged
+from ..session import checkpoint_root, staged
 from ..sources.feed import rates_from_entries
 from .bridge import RESPONSE_ORDER, sql_codex, sql_normalize, sql_normalize_for, sql_usd, sql_vendor
 from .registry import query
@@ -428,6 +430,23 @@ def _(b):
     return lg.import_counts(_csv(b), _have(b))
 
 
+@query(
+    "import_check", ["ledger"],
+    f"""WITH {LEGACY}, b AS (SELECT * FROM ledger WHERE CAST(substr(session_id, 3) AS BIGINT) % 5 <> 0),
+    t AS (SELECT (SELECT count(*) FROM b) + (SELECT count(*) FROM added) AS n,
+      CAST((SELECT sum(total_tokens) FROM b) + (SELECT sum(total_tokens) FROM added) AS BIGINT) AS total)
+    SELECT n AS expected_sessions, total AS expected_total, n AS found_sessions, total AS found_total, true AS agrees FROM t""",
+)
+def _(b):
+    """The total after an import that went through storage."""
+    root = f"{checkpoint_root(b.spark).rstrip('/')}/meterbook-import/{uuid.uuid4().hex}"
+    columns = ["session_id", "slug", "end_time", "total_tokens"]
+    before = _have(b).select(*columns)
+    before.write.parquet(root)
+    lg.import_legacy(_csv(b), before).select(*columns).write.mode("append").parquet(root)
+    return lg.import_check(_csv(b), before, b.spark.read.parquet(root), "total_tokens")
+
+
 @query(
     "dedupe_ledger_rows", [],
     """SELECT session_id, file, total_tokens FROM (SELECT *, row_number() OVER (PARTITION BY session_id

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as xf
 from ..operators.reconcile import newest_per_session
+from .growing import range_hash
 
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 CLAUDE_MAIN = rf"^.*/projects/([^/]+)/({UUID})\.jsonl$"
@@ -153,23 +154,58 @@ def scan_copilot(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 TAIL_BYTES = 65_536
+#: Files over this size are read by ranges, smaller ones as one value.
+RANGED_BYTES = 64_000_000
 
 
-def file_parts(spark: SparkSession, paths: str | list[str], tail_bytes: int | None = TAIL_BYTES) -> DataFrame:
-    """``size:hash`` of each file's last bytes, the part a fingerprint covers; None is the whole file."""
+def file_parts(
+    spark: SparkSession, paths: str | list[str], tail_bytes: int | None = TAIL_BYTES, ranged_bytes: int = RANGED_BYTES
+) -> DataFrame:
+    """``size:hash`` of each file's last bytes, the part a fingerprint covers; None is the whole file.
+
+    Of a file over ``ranged_bytes`` only the tail is read. Where the whole file counts, its
+    ranges are hashed by different tasks and the hash is that of the list of their hashes.
+    """
     tail = F.col("content")
     if tail_bytes is not None:
         # A start before the file begins would shorten the tail.
         tail = F.when(F.col("length") <= tail_bytes, tail).otherwise(F.substring("content", -tail_bytes, tail_bytes))
-    return (
+    small = (
         _reader(spark)
         .format("binaryFile")
         .load(paths)
+        .filter(F.col("length") <= ranged_bytes)  # pushed down: larger files are not loaded
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.concat_ws(":", "length", F.sha2(tail, 256)).alias("part"),
         )
     )
+    large = list_files(spark, paths).filter(F.col("size") > ranged_bytes).select("path", "size")
+    return small.unionByName(_ranged_parts(large, tail_bytes, ranged_bytes))
+
+
+def _ranged_parts(files: DataFrame, tail_bytes: int | None, ranged_bytes: int) -> DataFrame:
+    if tail_bytes is not None:
+        first = F.greatest(F.lit(0).cast("bigint"), F.col("size") - tail_bytes)
+        ranges = files.select("path", "size", first.alias("start"), F.col("size").alias("end"))
+    else:
+        starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(ranged_bytes).cast("bigint")))
+        ranges = files.select("path", "size", starts.alias("start")).repartition("path", "start").select(
+            "*", F.least("size", F.col("start") + ranged_bytes).alias("end")
+        )
+
+    def hashed(frames):
+        for frame in frames:
+            frame["hash"] = [range_hash(r.path, r.start, r.end) for r in frame.itertuples()]
+            yield frame[["path", "size", "start", "hash"]]
+
+    found = ranges.mapInPandas(hashed, "path string, size bigint, start bigint, hash string")
+    if tail_bytes is not None:
+        return found.select("path", F.concat_ws(":", "size", "hash").alias("part"))
+    # As many hashes as the file has ranges.
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("start", "hash"))), lambda r: r["hash"])
+    whole = found.groupBy("path", "size").agg(F.sha2(F.array_join(listed, ","), 256).alias("hash"))
+    return whole.select("path", F.concat_ws(":", "size", "hash").alias("part"))
 
 
 def claude_parts(spark: SparkSession, paths: str | list[str], tail_bytes: int | None = TAIL_BYTES) -> DataFrame:

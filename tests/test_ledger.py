@@ -130,6 +130,20 @@ def test_legacy_csv(spark, tmp_path):
     assert (c.migrated, c.superseded, c.malformed, c.without_id) == (2, 2, 1, 1)
 
 
+def test_legacy_anomalies_and_totals(spark, tmp_path):
+    put(tmp_path / "l.csv", "session_id,end_time,start_time,total_cost_usd\na,e,2026-01-01T00:00:00Z,1.5\nb,e,soon,2\nshort,row\nc,e,,4\na,e,,9\n")
+    raw = sl.scan_legacy_csv(spark, str(tmp_path / "l.csv"))
+    found = sorted((r.kind, r.detail) for r in lg.import_anomalies(raw).collect())
+    assert found == [("fields", "short,row"), ("start_time", ""), ("start_time", ""), ("start_time", "soon")]
+    rows, keep = sl.legacy_sessions(raw), ["session_id", "slug", "end_time", "cost"]
+    before = rows.filter("session_id = 'c'").select(*keep)
+    after = before.unionByName(lg.import_legacy(rows, before).select(*keep))
+    c = one(lg.import_check(rows, before, after))
+    assert (c.expected_sessions, c.expected_total, c.found_total, c.agrees) == (3, Decimal("7.5"), Decimal("7.5"), True)
+    assert not one(lg.import_check(rows, before, before)).agrees
+    assert one(lg.import_check(rows.limit(0), before.limit(0), before.limit(0))).agrees
+
+
 FEED = {
     "claude-nova-6": {"litellm_provider": "anthropic", "mode": "chat", "input_cost_per_token": 8e-6, "output_cost_per_token": 4e-5},
     "claude-nova-6-20270101": {"litellm_provider": "anthropic", "mode": "chat", "input_cost_per_token": 9e-6, "output_cost_per_token": 9e-5},
@@ -258,6 +272,22 @@ def test_fingerprint_tail_and_needs_sync(spark, dim, tmp_path):
     assert one(Copilot.prints(index, "v1")).fingerprint == print1
 
 
+def test_large_files_are_fingerprinted_by_ranges(spark, tmp_path):
+    import hashlib
+
+    body = bytes(range(256)) * 40
+    (tmp_path / "a.jsonl").write_bytes(body)
+    (tmp_path / "b é.jsonl").write_bytes(body[:999])
+    parts = lambda *args: {r.path.rpartition("/")[2][0]: r.part for r in ts.file_parts(spark, str(tmp_path), *args).collect()}
+    assert parts(500, 1_000) == parts(500) == {k: f"{len(d)}:{hashlib.sha256(d[-500:]).hexdigest()}" for k, d in (("a", body), ("b", body[:999]))}
+    pieces = [hashlib.sha256(body[i : i + 1_000]).hexdigest() for i in range(0, len(body), 1_000)]
+    assert parts(None, 1_000)["a"] == f"{len(body)}:{hashlib.sha256(','.join(pieces).encode()).hexdigest()}"
+    # A file without blocks on disk, too large for one value.
+    with (tmp_path / "c.jsonl").open("wb") as f:
+        f.truncate(3_000_000_000)
+    assert parts()["c"] == f"3000000000:{hashlib.sha256(bytes(ts.TAIL_BYTES)).hexdigest()}"
+
+
 def test_monitor_overrides_and_branch(spark):
     from meterbook.operators.capture import capture_strategy
 
