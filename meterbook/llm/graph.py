@@ -13,16 +13,19 @@ def components(links: DataFrame) -> DataFrame:
     neighbour to its larger neighbours, then to its smaller ones. Each step keeps at
     most one row per link, is written to the shared folder, and the number of rounds
     grows with the logarithm of the longest path. Self-links keep a vertex of its own.
+    A step names its input several times, so that two steps in one plan, or a digest
+    taken twice, would multiply what the driver has to plan and to keep.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    before = _digest(edges)
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, larger=True)
-        small = staged(_star(large.filter("u > v").unionByName(large.filter("u = v")), larger=False), "links")
-        left, right = edges.select("u", "v"), small.select("u", "v")
-        same = _digest(left) == _digest(right)
+        large = staged(_star(both, larger=True), "links")
+        small = staged(_star(large.filter("u >= v"), larger=False), "links")
+        after = _digest(small)
         unstage(edges)
-        edges = small
+        unstage(large)
+        edges, same, before = small, before == after, after
         if same:
             return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 

@@ -92,13 +92,19 @@ class Model:
 
 
 def fit_space(counts: np.ndarray, labels: np.ndarray) -> Model:
-    """Tf-idf, then the leading right singular vectors by subspace iteration."""
+    """Tf-idf, then the leading right singular vectors by subspace iteration.
+
+    ``counts`` is overwritten with its weighted unit rows, a block at a time: the driver
+    holds one array of that size.
+    """
     n, width = counts.shape if len(counts) else (0, WIDTH)
     prior = float(labels.mean()) if n else PRIOR
     idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0) if n else np.ones(width))).astype(np.float32) + 1
     if n < 2:
         return Model(idf, np.zeros((width, 0), np.float32), np.zeros((0, 0), np.float32), labels, prior)
-    rows = _unit(counts * idf)
+    for at in range(0, n, SLICE):
+        counts[at : at + SLICE] = _unit(counts[at : at + SLICE] * idf)
+    rows = counts
     k = min(DIMS, n - 1)
     basis = rows.T @ np.random.default_rng(7).standard_normal((n, min(n, k + 16))).astype(np.float32)
     for _ in range(4):
@@ -126,7 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     packed = text_udf("counts binary", lambda: lambda text: (zlib.compress(terms(text).tobytes(), 1),))
     rows = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) if sample else texts.limit(0)
     found = rows.select("quality", packed(F.col("text")).alias("found")).select("quality", "found.counts").collect()
-    counts = np.array([np.frombuffer(zlib.decompress(r[1]), np.float32) for r in found], np.float32)
+    counts = np.empty((len(found), WIDTH), np.float32)
+    for row, (_, packed_row) in zip(counts, found, strict=True):
+        row[:] = np.frombuffer(zlib.decompress(packed_row), np.float32)
     return fit_space(counts, np.array([r[0] for r in found], np.float64))
 
 

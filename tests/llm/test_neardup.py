@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from meterbook.llm import neardup
+from meterbook.llm import graph, neardup
 from meterbook.llm.graph import components
 
 
@@ -89,3 +89,17 @@ def test_dense_regions_in_blocks(frame, monkeypatch, large, block):
     got = {tuple(r) for r in neardup.near_duplicates(frame(*rows)).collect()}
     assert got == brute(rows)
     assert 1 < len({r[2] for r in got}) < 60
+
+
+def test_a_plan_of_components_reads_its_input_a_few_times(spark, monkeypatch):
+    """The driver's memory: what it plans at once does not multiply over the steps of a round."""
+    scans, real = [], graph.staged
+
+    def counted(df, what):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return real(df, what)
+
+    monkeypatch.setattr(graph, "staged", counted)
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in components(path).collect()} == {0}
+    assert len(scans) > 4 and max(scans) <= 6

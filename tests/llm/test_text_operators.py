@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import time
+import tracemalloc
 import re
 
 import numpy as np
@@ -412,3 +413,20 @@ def test_quality_edges(frame, spark):
     out = quality.keep_good(docs, model)
     assert out.columns == docs.columns
     assert quality.keep_good(docs.limit(0), model).count() == 0
+
+
+def test_fitting_holds_one_array_of_counts():
+    """The driver's memory: beyond the counts no second array of their size."""
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(0.3, (1500, quality.WIDTH)).astype(np.float32)
+    whole = quality.fit_space(counts.copy(), np.arange(1500) % 2.0)
+    rows = counts * whole.idf
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    places = rows @ whole.axes
+    assert np.allclose(whole.vectors, places / np.linalg.norm(places, axis=1, keepdims=True), atol=1e-5)
+    del rows
+    tracemalloc.start()
+    quality.fit_space(counts, np.arange(1500) % 2.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 0.8 * counts.nbytes
