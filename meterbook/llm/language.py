@@ -13,9 +13,10 @@ seen contexts; a lookup is a binary search.
 A text goes to the language of lowest cross-entropy per symbol. What lies above all but
 one in a thousand of the learned texts of that language is marked rejected.
 
-Size of a model: codes of ``order`` symbols number 32^order, and the order is the highest
-up to four at which languages x 32^order stays within ``CELLS``; so neither the model nor
-what a worker keeps of it follows the rows. Counts cover all learned rows.
+Size of a model: codes of ``order`` symbols number 32^order, so it does not follow the
+rows. Languages are taken in parts of at most ``CELLS`` codes; driver and workers hold one
+part at a time, each scores all texts, and a text's results of all parts are merged, so
+that the order asked for holds for any number of languages. Counts cover all learned rows.
 
 Defined cases: a text that is null or has no letter is ``und``, with score 0 and neither
 cross-entropy nor rejection. Null languages and languages without a letter are not learned;
@@ -28,7 +29,8 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import SLICE, columns, prepare, staged, worker_cache
+from .common import SLICE, columns, prepare, staged, unstage, worker_cache
 
 ALPHABET, BITS, ORDER = 32, 5, 4
-#: Gram codes of all languages together, and so cells a worker keeps at most.
+#: Gram codes of the languages of a part together, and so cells a worker keeps at most.
 CELLS = 1 << 24
 #: Share of a language's learned texts that rejection may hit.
 REJECTED = 0.001
@@ -180,19 +182,59 @@ def learned(docs: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Model:
-    """Languages in byte order, their language models, and the cross-entropy above which each rejects."""
+class Part:
+    """Some of a model's languages, from number ``first`` on, with their models and limits."""
 
+    first: int
     languages: list[str]
     order: int
     models: list[Kneser]
     limits: np.ndarray
 
 
+@dataclass
+class Model:
+    """Languages in byte order, the stored counts of their grams, and the cross-entropy above which each rejects."""
+
+    languages: list[str]
+    order: int
+    counted: DataFrame
+    limits: np.ndarray
+    _built: tuple[int, list[Kneser]] | None = None
+
+    def bounds(self) -> list[tuple[int, int]]:
+        """First and end of every part; parts of like size."""
+        number = -(-len(self.languages) // max(1, CELLS // ALPHABET**self.order))
+        cuts = [len(self.languages) * i // number for i in range(number + 1)] if number else []
+        return list(zip(cuts, cuts[1:], strict=False))
+
+    def part(self, first: int, end: int) -> Part:
+        """Languages first to end; the driver keeps the models of the last one asked for."""
+        names = self.languages[first:end]
+        if self._built is None or self._built[0] != first:
+            self._built = None
+            self._built = first, _models(self.counted.filter(F.col("lang").between(names[0], names[-1])), self.order)
+        return Part(first, names, self.order, self._built[1], self.limits[first:end])
+
+    @property
+    def models(self) -> list[Kneser]:
+        """All models at once."""
+        return [m for bounds in self.bounds() for m in self.part(*bounds).models]
+
+
+def _models(counted: DataFrame, order: int) -> list[Kneser]:
+    """Of the languages of a part, in byte order."""
+    found = counted.orderBy("lang", "gram").toArrow()  # at most CELLS rows
+    lang = found.column("lang").combine_chunks().dictionary_encode()
+    ids, gram, n = lang.indices.to_numpy(), found.column("gram").to_numpy(), found.column("n").to_numpy()
+    starts = np.flatnonzero(np.diff(ids, prepend=-1))
+    return [kneser(gram[at:end], n[at:end], order) for at, end in zip(starts, [*starts, len(ids)][1:], strict=True)]
+
+
 class Scorer:
     """Cross-entropies of texts; a worker keeps the logarithms it has looked up, by gram."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Part):
         self.model = model
         self.known = np.zeros(ALPHABET**model.order, bool)
         self.logs = np.zeros((ALPHABET**model.order, len(model.languages)), np.float32)
@@ -200,7 +242,7 @@ class Scorer:
     def entropies(self, text: str | None) -> np.ndarray | None:
         """Bits per symbol under each language; None without a letter."""
         codes = grams(symbols(text), self.model.order)
-        if not len(codes) or not self.model.languages:
+        if not len(codes):
             return None
         new = codes[~self.known[codes]]
         if len(new):
@@ -218,22 +260,23 @@ def _scorer(sent: Broadcast) -> Scorer:
     return Scorer(sent.value)
 
 
-_PREDICTED = pa.schema({"lang_pred": pa.string(), "score": pa.float64(), "entropy": pa.float64(), "rejected": pa.bool_()})
+#: Of a part's best language: cross-entropy, number, name, limit, and the part's weights relative to it.
+_PREDICTED = pa.schema({"entropy": pa.float64(), "at": pa.int32(), "lang": pa.string(), "limit": pa.float64(), "weight": pa.float64()})
 
 
 def _best(scorer: Scorer, text: str | None) -> tuple[int, float, float] | None:
-    """Language, its share among all, and its cross-entropy."""
+    """Language, its cross-entropy, and the weight of all languages of the part, its own being one."""
     found = scorer.entropies(text)
     if found is None:
         return None
     best = int(found.argmin())
-    share = 1.0 / np.exp2(np.maximum(-SHARPNESS * (found - found[best]), -1000)).sum()
-    return best, float(share), float(found[best])
+    weight = np.exp2(np.maximum(-SHARPNESS * (found - found[best]), -1000)).sum()
+    return best, float(found[best]), float(weight)
 
 
-def _predictor(docs: DataFrame, model: Model):
-    """UDF text -> (lang_pred, score, entropy, rejected)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _predictor(sent: Broadcast, part: Part):
+    """UDF text -> the part's best language; null without a letter."""
+    first, languages, limits = part.first, part.languages, part.limits.tolist()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _scorer(sent)
@@ -243,17 +286,55 @@ def _predictor(docs: DataFrame, model: Model):
                 for text in batch.slice(at, SLICE).to_pylist():
                     best = _best(scorer, text)
                     if best is None:
-                        rows.append((UNKNOWN, 0.0, None, None))
+                        rows.append((None,) * len(_PREDICTED))
                     else:
-                        rows.append((languages[best[0]], best[1], best[2], bool(best[2] > limits[best[0]])))
+                        i, entropy, weight = best
+                        rows.append((entropy, first + i, languages[i], limits[i], weight))
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(_PREDICTED)
             arrays = [pa.array(c, f.type) for c, f in zip(cols, _PREDICTED, strict=True)]
             yield pa.StructArray.from_arrays(arrays, fields=list(_PREDICTED))
 
-    languages, limits = model.languages, model.limits
     return F.arrow_udf(run, from_arrow_schema(_PREDICTED)).asNondeterministic()
 
 
+def _predicted(rows: DataFrame, model: Model) -> DataFrame:
+    """The columns of (..., text) other than text, then lang_pred, score, entropy, rejected.
+
+    A model of one part takes the texts as they come. Those of several are scored part
+    after part, and what the parts say of a row, a few numbers each, is put together.
+    """
+    sc, bounds = rows.sparkSession.sparkContext, model.bounds()
+    others = [c for c in rows.columns if c != "text"]
+    if not bounds:
+        found = rows.select(*others, F.lit(None).cast(from_arrow_schema(_PREDICTED)).alias("p"))
+    elif len(bounds) == 1:
+        part = model.part(*bounds[0])
+        found = rows.select(*others, _predictor(sc.broadcast(part), part)(F.col("text")).alias("p"))
+    else:
+        rows = staged(rows.withColumn("row_", F.monotonically_increasing_id()), "texts")
+        said = []
+        for first, end in bounds:
+            part = model.part(first, end)
+            sent = sc.broadcast(part)
+            said.append(staged(rows.select("row_", *others, _predictor(sent, part)(F.col("text")).alias("p")), "part"))
+            sent.destroy()
+        unstage(rows)
+        # smallest cross-entropy first, then first in byte order; every part has a say, or none
+        ranked = F.array_sort(F.collect_list(F.when(F.col("p.entropy").isNotNull(), F.col("p"))))
+        found = reduce(DataFrame.union, said).groupBy("row_", *others).agg(ranked.alias("all"))
+        best = F.try_element_at("all", F.lit(1))
+        near = lambda x: F.pow(F.lit(2.0), F.greatest(-SHARPNESS * (x["entropy"] - best["entropy"]), F.lit(-1000.0)))
+        total = F.aggregate("all", F.lit(0.0), lambda so_far, x: so_far + x["weight"] * near(x))
+        found = found.select(*others, best.alias("p"), total.alias("total")).withColumn("p", F.col("p").withField("weight", F.col("total")))
+    return found.select(
+        *others,
+        F.coalesce("p.lang", F.lit(UNKNOWN)).alias("lang_pred"),
+        F.coalesce(1 / F.col("p.weight"), F.lit(0.0)).alias("score"),
+        F.col("p.entropy").alias("entropy"),
+        (F.col("p.entropy") > F.col("p.limit")).alias("rejected"),
+    )
+
+
 def order_for(languages: int) -> int:
     """The highest order up to ``ORDER`` whose codes, for all languages, stay within ``CELLS``."""
     return max((n for n in range(1, ORDER + 1) if languages * ALPHABET**n <= CELLS), default=1)
@@ -265,34 +346,33 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame) -> Model:
-    """Count all learned texts, build the models, and calibrate rejection on the same texts."""
+def fit(docs: DataFrame, order: int | None = None) -> Model:
+    """Count all learned texts for models of ``order``, and calibrate rejection on the same texts.
+
+    Without an order it is the highest at which all languages make one part; the models
+    then depend on how many languages there are, which those of a given order do not.
+    """
     prepare(docs.sparkSession)
     rows = learned(docs)
-    named = rows.select("lang").distinct().count()
-    order = order_for(named)
-    grams_of = staged(count_grams(rows, order), "grams")
-    found = grams_of.orderBy("lang", "gram").toArrow()  # at most CELLS rows
-    languages, models = [], []
-    lang = found.column("lang").combine_chunks().dictionary_encode()
-    ids, gram, n = lang.indices.to_numpy(), found.column("gram").to_numpy(), found.column("n").to_numpy()
-    starts = np.flatnonzero(np.diff(ids, prepend=-1)) if len(ids) else np.zeros(0, np.int64)
-    for at, end in zip(starts, [*starts, len(ids)][1:], strict=True):
-        languages.append(lang.dictionary[int(ids[at])].as_py())
-        models.append(kneser(gram[at:end], n[at:end], order))
-    model = Model(languages, order, models, np.full(len(languages), np.inf))
-    return calibrate(rows, model)
+    if order is None:
+        order = order_for(rows.select("lang").distinct().count())
+    counted = staged(count_grams(rows, order).repartitionByRange("lang"), "grams")  # a part reads its own files
+    languages = [r.lang for r in counted.select("lang").distinct().orderBy("lang").collect()]
+    return calibrate(rows, Model(languages, order, counted, np.full(len(languages), np.inf)))
 
 
 def calibrate(rows: DataFrame, model: Model) -> Model:
     """Thresholds: the cell of cross-entropy above which at most ``REJECTED`` of a language's own texts lie."""
     if not model.languages:
         return model
-    found = rows.select("lang", _predictor(rows, model)(F.col("text")).alias("p")).filter("lang = p.lang_pred")
-    cells = found.groupBy("lang", F.floor(F.col("p.entropy") * STEPS).alias("cell")).count().orderBy("lang", "cell").collect()
+    found = _predicted(rows.select("lang", "text"), model).filter("lang = lang_pred")
+    cells = found.groupBy("lang", F.floor(F.col("entropy") * STEPS).alias("cell")).count().orderBy("lang", "cell").collect()
+    of_lang: dict[str, list[tuple[int, int]]] = {}
+    for r in cells:
+        of_lang.setdefault(r.lang, []).append((r.cell, r["count"]))
     limits = np.full(len(model.languages), np.inf)
     for i, lang in enumerate(model.languages):
-        own = [(r.cell, r["count"]) for r in cells if r.lang == lang]
+        own = of_lang.get(lang, [])
         least = (1 - REJECTED) * sum(c for _, c in own)
         reached = 0
         for cell, count in own:
@@ -300,11 +380,10 @@ def calibrate(rows: DataFrame, model: Model) -> Model:
             if reached >= least:
                 limits[i] = (cell + 1) / STEPS
                 break
-    return Model(model.languages, model.order, model.models, limits)
+    return replace(model, limits=limits)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, entropy, rejected; one row per document, nothing shuffled."""
+    """doc_id, lang_pred, score, entropy, rejected; one row per document; nothing is shuffled for a model of one part."""
     prepare(docs.sparkSession)
-    rows = columns(docs, doc_id="long", text="string")
-    return rows.select("doc_id", _predictor(docs, model)(F.col("text")).alias("p")).select("doc_id", "p.*")
+    return _predicted(columns(docs, doc_id="long", text="string"), model)

@@ -210,7 +210,7 @@ SELECT t.lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FRO
 
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = language.predict(docs, language.fit(docs))
+    found = language.predict(docs, language.fit(docs, language.ORDER))
     held_out = language.held_out(F.col("doc_id")).alias("held_out")
     return found.select("doc_id", held_out, "lang_pred", "score", "entropy", "rejected")
 

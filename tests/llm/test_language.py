@@ -137,3 +137,39 @@ def test_held_out_languages_and_rejection(spark):
     odd = spark.createDataFrame([(1, "xqzj vkkw qqqx zzzt " * 20, "en", "", 0.0, "")], SCHEMA)
     assert language.predict(odd, language.fit(docs)).first().rejected
     assert sum(bool(r.rejected) for r in rows.values()) < 0.02 * len(rows)
+
+
+def test_more_languages_change_no_model(spark, tmp_path):
+    """The query's grams are as long with 20 languages, in two parts, as with two."""
+    rng = random.Random(9)
+    few = [(i, "".join(rng.choice("abcdef " if i % 2 else "cdefgh ") for _ in range(200)), "ab"[i % 2]) for i in range(40)]
+    more = [(100 + i, f"{chr(0x3B1 + k)}{chr(0x3B1 + k // 5)} {chr(0x430 + k)} " * 3, f"m{k:02}") for k in range(18) for i in (3 * k, 3 * k + 1, 3 * k + 2)]
+    found = {}
+    for name, rows in (("few", few), ("more", few + more)):
+        spark.createDataFrame([(i, t, lang, "x", 0.5, "y") for i, t, lang in rows], SCHEMA).write.parquet(str(tmp_path / name / "documents.parquet"))
+        found[name] = {r.doc_id: r for r in op13_language_id(spark, str(tmp_path / name)).collect()}
+        assert len(found[name]) == len(rows)
+    for i, _, _ in few:
+        a, b = found["few"][i], found["more"][i]
+        assert (a.lang_pred, a.entropy, a.rejected) == (b.lang_pred, b.entropy, b.rejected)
+
+
+def test_parts_equal_one_model(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, "".join(rng.choice("abcdefg "[k // 2 :]) for _ in range(rng.randint(1, 80))), f"l{k}") for i, k in enumerate([0, 1, 2, 3, 4, 5] * 20)]
+    rows += [(200 + i, t, "l9") for i, t, lang in rows if lang == "l0" and zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(str(200 + i).encode()) % 3 != 1]
+    rows += [(i, t, "l0") for i, t, lang in rows if lang == "l9"]  # equal languages differ in parts
+    rows += [(300, None, "l0"), (301, "1 2", "l1"), (None, "abc", None), (7, rows[7][1], "l1"), (7, rows[7][1], "l1")]
+    df = spark.createDataFrame([(i, t, lang, "x", 0.5, "y") for i, t, lang in rows], SCHEMA)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.entropy or 0)
+    whole = language.fit(df, 2)
+    one = sorted(language.predict(df, whole).collect(), key=key)
+    monkeypatch.setattr(language, "CELLS", 3 << 10)
+    split = language.fit(df, 2)
+    assert len(whole.languages) == 7 and split.bounds() == [(0, 2), (2, 4), (4, 7)]
+    assert np.array_equal(whole.limits, split.limits)
+    several = sorted(language.predict(df, split).collect(), key=key)
+    assert len(one) == len(several) == len(rows)
+    for a, b in zip(one, several, strict=True):
+        assert (a.doc_id, a.lang_pred, a.entropy, a.rejected) == (b.doc_id, b.lang_pred, b.entropy, b.rejected)
+        assert a.score == pytest.approx(b.score, abs=1e-12)
