@@ -1,12 +1,15 @@
 """Queries over folders of files written out from tables."""
 
+import os
 from types import SimpleNamespace
 
 import pyarrow as pa
+from helpers import said, write_lines
 from pyspark.sql import functions as F
 
 from meterbook.queries import files as qf
 from meterbook.sources import growing
+from meterbook.sources import transcripts as ts
 
 
 def laid_out(root):
@@ -34,7 +37,7 @@ def test_files_are_written_by_the_tasks(spark, tmp_path, monkeypatch):
             assert got == {f"a/b{k}/c.jsonl": "".join(f"é{i}\n" for i in range(k, n * 20, n)).encode() for k in range(n)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert calls[1] < calls[0] + 100, calls
+    assert calls[1] < calls[0] + 1000, calls
 
 
 def test_odd_names_and_values(spark, tmp_path):
@@ -51,3 +54,44 @@ def test_odd_names_and_values(spark, tmp_path):
 def test_no_rows_no_files(tmp_path):
     none = pa.RecordBatch.from_pydict({"name": pa.array([], pa.string()), "line": pa.array([], pa.binary())})
     assert [b.num_rows for b in growing.write_files(str(tmp_path), iter([none]))] == [0] and laid_out(tmp_path) == {}
+
+
+def claude_tree(root, sessions, pad=""):
+    for k in range(sessions):
+        sid = f"{k:08x}-0000-4000-8000-{k:012x}"
+        for name in (f"projects/demo/{sid}.jsonl", f"projects/other/{sid}/subagents/agent-1.jsonl"):
+            write_lines(root / name, [said(f"m{k}-{name[9]}", "claude-opus-5", (1, 0, 0, k), pad=pad)])
+    return sid
+
+
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    """Two tasks a core and no more for files without bytes; the caller's settings stay."""
+    claude_tree(tmp_path, 100)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        for frame in (ts.scan_lines(spark, str(tmp_path)), ts.list_files(spark, str(tmp_path))):
+            assert frame._jdf.rdd().getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+            assert frame.count() == 200 and frame.sparkSession is spark
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_claude_lines_are_not_shuffled_where_few_files_are_left_out(spark, tmp_path):
+    """An older main file of a session and subagents without a main file do not count."""
+    last = claude_tree(tmp_path, 3, "x" * 50_000)
+    write_lines(tmp_path / f"projects/old/{last}.jsonl", [said("stale", "claude-opus-5", (1, 0, 0, 9))])
+    os.utime(tmp_path / f"projects/old/{last}.jsonl", (1, 1))
+    lone = last.replace("4000", "4001")
+    write_lines(tmp_path / f"projects/other/{lone}/subagents/agent-1.jsonl", [said("lone", "claude-opus-5", (1, 0, 0, 9))])
+    write_lines(tmp_path / "projects/other/notes.jsonl", [said("none", "claude-opus-5", (1, 0, 0, 9))])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        found = ts.scan_claude(spark, str(tmp_path))
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.session_id[:8], r.is_main, r.id) for r in found.select("session_id", "is_main", "message.id").collect()) == [
+        (f"{k:08x}", main, f"m{k}-{'d' if main else 'o'}") for k in range(3) for main in (False, True)
+    ]
