@@ -21,6 +21,7 @@ from ..session import checkpoint_root
 from ..sources import capture as sc
 from ..sources import ledger as sl
 from .bridge import sql_codex, sql_normalize, sql_normalize_for, sql_usd
+from .files import _lay_out
 from .registry import query
 
 
@@ -456,20 +457,9 @@ def _transcripts(b, root: str, first: bool):
     stamp = F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd'T'00:00:00'Z'")
     line = F.to_json(F.struct(F.lit("assistant").alias("type"), stamp.alias("timestamp"), message.alias("message")))
     rows = b.table("lineitem").filter(F.col("l_linenumber") <= 3 if first else key % 2 == 0)
-    sid = F.format_string("%08x-0000-4000-8000-%012x", key.cast("bigint"), key.cast("bigint")).alias("sid")
-    path = f"{root}/raw/{uuid.uuid4().hex}"
-    rows.select(sid, line.alias("value")).repartition("sid").write.partitionBy("sid").text(path)
-    # A transcript's name is its session's, which no Spark writer gives: one rename a file.
-    jvm = b.spark._jvm
-    here = jvm.org.apache.hadoop.fs.Path(f"{path}/sid=*/part-*")
-    fs = here.getFileSystem(b.spark._jsc.hadoopConfiguration())
-    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/in/projects/demo")
-    fs.mkdirs(folder)
-    for found in fs.globStatus(here) or []:
-        name = found.getPath().getParent().getName().removeprefix("sid=")
-        target = jvm.org.apache.hadoop.fs.Path(folder, f"{name}.jsonl")
-        fs.delete(target, False)
-        fs.rename(found.getPath(), target)
+    sid = F.format_string("%08x-0000-4000-8000-%012x", key.cast("bigint"), key.cast("bigint"))
+    name = F.concat(F.lit("projects!demo!"), sid, F.lit(".jsonl")).alias("name")
+    _lay_out(b, rows.select(name, id_.alias("ord"), line.alias("value")), f"{root}/in")
 
 
 @query("sync_twice", [], SYNCED)
